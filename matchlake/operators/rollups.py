@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from matchlake.functions.scalar import flag, ratio, rounded, signed
 from matchlake.operators.perspective import canonical_pair, map_facts, series_card, sides
 
-COUNT = F.count(F.lit(1))
 
 # sort key of a leaderboard -> column
 PLAYER_SORTS = {
@@ -19,6 +18,10 @@ PLAYER_SORTS = {
 }
 
 
+def n_rows() -> Column:
+    return F.count(F.lit(1))
+
+
 def map_kd() -> Column:
     """Kills per death; the kills themselves when nobody died."""
     return F.when(F.col("deaths") > 0, F.col("kills").cast("double") / F.col("deaths")).otherwise(
@@ -37,10 +40,10 @@ def with_map_kd(player_map_stats: DataFrame) -> DataFrame:
 
 def team_record(series_rows: DataFrame) -> DataFrame:
     return series_rows.groupBy("team").agg(
-        COUNT.alias("total_matches"),
+        n_rows().alias("total_matches"),
         F.sum("won").alias("wins"),
-        (COUNT - F.sum("won")).alias("losses"),
-        ratio(F.sum("won"), COUNT, times=100).alias("win_rate"),
+        (n_rows() - F.sum("won")).alias("losses"),
+        ratio(F.sum("won"), n_rows(), times=100).alias("win_rate"),
         F.sum("maps_won").alias("maps_won"),
         (F.sum("maps_played") - F.sum("maps_won")).alias("maps_lost"),
         ratio(F.sum("maps_won"), F.sum("maps_played"), times=100).alias("map_win_rate"),
@@ -50,8 +53,8 @@ def team_record(series_rows: DataFrame) -> DataFrame:
 def _map_aggs() -> list[Column]:
     return [
         F.sum("won").alias("wins"),
-        (COUNT - F.sum("won")).alias("losses"),
-        ratio(F.sum("won"), COUNT, times=100).alias("win_rate"),
+        (n_rows() - F.sum("won")).alias("losses"),
+        ratio(F.sum("won"), n_rows(), times=100).alias("win_rate"),
         F.coalesce(F.avg("score_for"), F.lit(0.0)).alias("avg_score_for"),
         F.coalesce(F.avg("score_against"), F.lit(0.0)).alias("avg_score_against"),
     ]
@@ -63,7 +66,7 @@ def team_mode(map_rows: DataFrame) -> DataFrame:
 
 def team_map_mode(map_rows: DataFrame) -> DataFrame:
     return map_rows.groupBy("team", "map_name", "mode").agg(
-        *_map_aggs(), COUNT.alias("total_played"), F.max("match_date").alias("last_played")
+        *_map_aggs(), n_rows().alias("total_played"), F.max("match_date").alias("last_played")
     )
 
 
@@ -77,7 +80,7 @@ def team_levels(map_rows: DataFrame) -> DataFrame:
     return map_rows.groupingSets(levels, "team", "mode", "map_name").agg(
         F.grouping_id("team", "mode", "map_name").cast("int").alias("level"),
         *_map_aggs(),
-        COUNT.alias("total_played"),
+        n_rows().alias("total_played"),
         F.max("match_date").alias("last_played"),
     )
 
@@ -103,17 +106,17 @@ def team_card(matches: DataFrame, map_results: DataFrame) -> DataFrame:
     from matchlake.operators.perspective import map_rows, series_rows
 
     overall = series_rows(matches, map_results).groupBy("team").agg(
-        COUNT.alias("matches"),
+        n_rows().alias("matches"),
         F.sum("won").alias("wins"),
-        rounded(ratio(F.sum("won"), COUNT, times=100), 1).alias("win_rate"),
+        rounded(ratio(F.sum("won"), n_rows(), times=100), 1).alias("win_rate"),
     )
     modes = (
         map_rows(matches, map_results)
         .groupBy("team", "mode")
         .agg(
-            COUNT.alias("maps"),
+            n_rows().alias("maps"),
             F.sum("won").alias("wins"),
-            rounded(ratio(F.sum("won"), COUNT, times=100), 1).alias("win_rate"),
+            rounded(ratio(F.sum("won"), n_rows(), times=100), 1).alias("win_rate"),
         )
         .groupBy("team")
         .agg(
@@ -150,7 +153,7 @@ def pair_record(matches: DataFrame, map_results: DataFrame) -> DataFrame:
         )
         .groupBy("team_1", "team_2")
         .agg(
-            COUNT.alias("meetings"),
+            n_rows().alias("meetings"),
             F.sum(flag(F.col("winner") == F.col("team_1"))).alias("team_1_wins"),
             F.sum(flag(F.col("winner") == F.col("team_2"))).alias("team_2_wins"),
             F.sum("m1").alias("team_1_map_wins"),
@@ -168,7 +171,7 @@ def _pair_maps(matches: DataFrame, map_results: DataFrame) -> DataFrame:
 
 def _pair_map_aggs() -> list[Column]:
     return [
-        COUNT.alias("meetings"),
+        n_rows().alias("meetings"),
         F.sum(flag(F.col("map_winner") == F.col("team_1"))).alias("team_1_wins"),
         F.sum(flag(F.col("map_winner") == F.col("team_2"))).alias("team_2_wins"),
         F.max("match_date").alias("last_played"),
@@ -193,7 +196,7 @@ def meetings(matches: DataFrame, by_year: bool = False, year: int | None = None)
     if year is not None:
         pairs = pairs.filter(F.col("year") == year)
     keys = ["team_1", "team_2"] + (["year"] if by_year or year is not None else [])
-    return pairs.groupBy(*keys).agg(COUNT.alias("meetings"))
+    return pairs.groupBy(*keys).agg(n_rows().alias("meetings"))
 
 
 # ---- players ----------------------------------------------------------------
@@ -218,7 +221,7 @@ def series_totals(player_map_stats: DataFrame, digits: int | None = None) -> Dat
 
 def _player_aggs(count_name: str) -> list[Column]:
     return [
-        COUNT.alias(count_name),
+        n_rows().alias(count_name),
         F.avg("kills").alias("avg_kills"),
         F.avg("deaths").alias("avg_deaths"),
         F.avg("kd").alias("avg_kd"),
