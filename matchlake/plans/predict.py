@@ -18,6 +18,7 @@ from matchlake.operators import ratings as E
 from matchlake.operators import rollups as R
 from matchlake.operators import scoring as S
 from matchlake.params import DEFAULTS, ModelParams
+from matchlake.sources.store import staged
 
 STATISTICAL = ["statistical_winner", "statistical_score", "statistical_probability"]
 
@@ -43,12 +44,18 @@ def score_current(
     as_of: Column | None = None,
     p: ModelParams = DEFAULTS,
     map_pool: bool = True,
+    form_history: DataFrame | None = None,
 ) -> DataFrame:
-    """Full statistical prediction of every fixture seen from one day."""
-    as_of = H.latest_date(matches) if as_of is None else as_of
-    form_history = P.form_history(matches, map_results, player_match_stats, p)
+    """Full statistical prediction of every fixture seen from one day.
+
+    ``form_history`` can be handed in when it is already at hand as a table. Form is one
+    row per team and is read for both sides, so it is staged.
+    """
+    if form_history is None:
+        form_history = staged(P.form_history(matches, map_results, player_match_stats, p))
+    as_of = H.latest_date(form_history) if as_of is None else as_of
     players = R.player_overall(player_match_stats, matches)
-    form = H.current_form(form_history, players, as_of, p)
+    form = staged(H.current_form(form_history, players, as_of, p))
     pairs = H.pair_form(H.pair_events(matches, map_results, p), p)
     df = S.attach_form(H.head_to_head(fixtures, pairs), form)
     df = _statistical(df, p)
@@ -109,12 +116,16 @@ def score_asof(
     p: ModelParams = DEFAULTS,
     match_rosters: bool = False,
     context: bool = False,
+    form_history: DataFrame | None = None,
 ) -> DataFrame:
     """Leakage-free statistical prediction of every fixture on its own day."""
-    form_history = P.form_history(matches, map_results, player_match_stats, p)
-    fixtures = with_rosters_asof(fixtures, form_history, match_rosters)
-    form = H.form_asof(
-        form_history, player_match_stats, matches, fixture_probes(fixtures), p, context
+    if form_history is None:
+        form_history = staged(P.form_history(matches, map_results, player_match_stats, p))
+    fixtures = staged(with_rosters_asof(fixtures, form_history, match_rosters))
+    form = staged(
+        H.form_asof(
+            form_history, player_match_stats, matches, fixture_probes(fixtures), p, context
+        )
     )
     pairs = H.pair_form_asof(H.pair_events(matches, map_results, p), fixtures, p)
     return _statistical(S.attach_form(H.head_to_head(fixtures, pairs), form), p)

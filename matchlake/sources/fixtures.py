@@ -6,9 +6,15 @@ line keys supply player figures, all with integer arithmetic.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from matchlake.operators.perspective import form_history
+from matchlake.operators.rollups import series_totals
+from matchlake.sources.store import staged
+
 LEAGUES = 20
 TEAMS_PER_LEAGUE = 12
 SCORING_START = "2001-05-01"
@@ -119,14 +125,17 @@ class FixtureTables:
     """The four fact tables of one scale directory, derived lazily and shared."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        from matchlake.operators.rollups import series_totals
-
         self.spark, self.sf_dir = spark, sf_dir
         self.map_results = map_results(spark, sf_dir)
         self.matches = matches(spark, sf_dir, self.map_results)
         self.player_map_stats = player_map_stats(spark, sf_dir, self.map_results, self.matches)
         self.player_match_stats = series_totals(self.player_map_stats)
 
+    @cached_property
+    def form_history(self) -> DataFrame:
+        """Series rows with rosters and mode sums, staged: many operators read them."""
+        return staged(form_history(self.matches, self.map_results, self.player_match_stats))
+
     @property
     def fixtures(self) -> DataFrame:
         """Upcoming pairings: the matches since SCORING_START, seen from their own day."""

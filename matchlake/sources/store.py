@@ -1,8 +1,9 @@
-"""Keyed tables on top of plain files: keep-last, upsert, versions, checkpoints."""
+"""Keyed tables on top of plain files: keep-last, upsert, versions, staging."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,14 +29,29 @@ def upsert(
     return kept.unionByName(delta, allowMissingColumns=True)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the session names."""
+_OWN_FOLDER: list[str] = []
+
+
+def staging_folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder of the session; a folder of our own only without one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not _OWN_FOLDER:
+        _OWN_FOLDER.append(tempfile.mkdtemp(prefix="matchlake-"))
+    return _OWN_FOLDER[0]
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write a frame that several later steps read, and go on from the written table.
+
+    This cuts the lineage: the input is scanned once, a lost executor costs only the
+    reading of the table, and later steps read just the columns they need.
+    """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="matchlake-"))
-    return df.checkpoint()
+    path = f"{staging_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 class VersionedTable:

@@ -13,14 +13,14 @@ from matchlake.operators import scoring as S
 from matchlake.plans import evaluation as V
 from matchlake.plans import learning as L
 from matchlake.plans import predict as M
-from matchlake.sources.store import record_results, save_predictions
+from matchlake.sources.store import record_results, save_predictions, staged
 from registry.base_sql import decay as sql_decay
 from registry.base_sql import div, rnd, sql
 from registry.catalogue import long, query, r6
 
 
 def form_history(t):
-    return P.form_history(t.matches, t.map_results, t.player_match_stats)
+    return t.form_history
 
 
 def map_history(t):
@@ -28,7 +28,7 @@ def map_history(t):
 
 
 def today(t):
-    return H.latest_date(t.matches)
+    return H.latest_date(t.form_history)
 
 
 # ---- current form -----------------------------------------------------------
@@ -176,7 +176,8 @@ def _(t):
 
 def score_current(t, map_pool=False):
     return M.score_current(
-        t.fixtures, t.matches, t.map_results, t.player_match_stats, map_pool=map_pool
+        t.fixtures, t.matches, t.map_results, t.player_match_stats, map_pool=map_pool,
+        form_history=t.form_history,
     )
 
 
@@ -443,7 +444,7 @@ def _(t):
 
 
 def rating_history(t):
-    return E.rating_history(t.matches, t.player_match_stats)
+    return staged(E.rating_history(t.matches, t.player_match_stats))
 
 
 @query("rating_history")
@@ -647,7 +648,9 @@ WHERE LEN(ra.roster) = 4 AND LEN(rb.roster) = 4 AND a.matches_played >= 10 AND b
 
 
 def training_set(t, **options):
-    return L.training_set(t.matches, t.map_results, t.player_match_stats, **options)
+    return L.training_set(
+        t.matches, t.map_results, t.player_match_stats, form_history=t.form_history, **options
+    )
 
 
 @query("training_features", _features_sql())
@@ -672,7 +675,7 @@ def _(t):
     """One setting, trained on all past matches and applied to the upcoming fixtures."""
     model = L.train(training_set(t), SETTING, max_splits=2)
     features = L.fixture_features(
-        t.fixtures, t.matches, t.map_results, t.player_match_stats
+        t.fixtures, t.matches, t.map_results, t.player_match_stats, form_history=t.form_history
     )
     return L.score(features, model).select(
         "fixture_id", "ml_probability_a", "ml_probability_b", "ml_winner", "ml_score", "ml_confidence"
@@ -863,7 +866,11 @@ def _(t):
 def _(t):
     """Statistical and rating model on every match after the 20th, earlier matches only."""
     fixtures = V.backtest_fixtures(t.matches, 20)
-    scored = M.score_asof(fixtures, t.matches, t.map_results, t.player_match_stats)
+    scored = staged(
+        M.score_asof(
+            fixtures, t.matches, t.map_results, t.player_match_stats, form_history=t.form_history
+        )
+    )
     history = rating_history(t)
     ratings = E.ratings_asof(history, M.fixture_probes(scored))
     return r6(V.backtest_accuracy(M.compare_models(scored, ratings), text_scores=False))
@@ -872,7 +879,9 @@ def _(t):
 @query("asof_predictions")
 def _(t):
     """Point-in-time statistical prediction of the upcoming fixtures."""
-    df = M.score_asof(t.fixtures, t.matches, t.map_results, t.player_match_stats)
+    df = M.score_asof(
+        t.fixtures, t.matches, t.map_results, t.player_match_stats, form_history=t.form_history
+    )
     return df.select(
         "fixture_id", "team_a_probability", "team_b_probability", "predicted_winner",
         "predicted_score", "reason",
