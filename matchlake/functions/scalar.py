@@ -63,7 +63,7 @@ def tolerant_double(text) -> Column:
 
 
 def roster_key(roster) -> Column:
-    return F.array_join(F.array_sort(to_col(roster)), "|")
+    return F.array_join(F.sort_array(to_col(roster)), "|")
 
 
 def roster_of(key) -> Column:

@@ -90,21 +90,19 @@ def asof_recent(
     entry = F.struct("_rn", F.col(day).alias("day"), *[F.col(c) for c in order], *[
         F.col(c) for c in payload if c not in order
     ])
-    daily = newest.groupBy(*keys, day).agg(F.array_sort(F.collect_list(entry)).alias("_day"))
-    per_key = Window.partitionBy(*keys).orderBy(F.desc(day))
-    up_to = F.slice(
-        F.flatten(F.collect_list("_day").over(per_key.rowsBetween(0, k - 1))), 1, k
-    )
-    states = daily.select(*keys, day, up_to.alias(out), F.lit(1).alias("_kind"))
+    daily = newest.groupBy(*keys, day).agg(F.sort_array(F.collect_list(entry)).alias("_day"))
     asked = probes.select(*keys, day, *carry).distinct().withColumn("_kind", F.lit(0))
-    # on one day the probe comes first, so it sees strictly earlier days only
+    rows = daily.withColumn("_kind", F.lit(1)).unionByName(asked, allowMissingColumns=True)
+    # ordinal of the event day; on one day the probe comes first, so its ordinal is that of
+    # the last strictly earlier day. Both windows use the partitioning of one shuffle.
     forward = Window.partitionBy(*keys).orderBy(day, "_kind")
-    seen = F.last(out, ignorenulls=True).over(forward.rowsBetween(Window.unboundedPreceding, -1))
+    ordinal = F.count("_day").over(forward.rowsBetween(Window.unboundedPreceding, 0))
+    back = Window.partitionBy(*keys).orderBy(F.desc("_e")).rangeBetween(0, k - 1)
     return (
-        states.unionByName(asked, allowMissingColumns=True)
-        .withColumn(out, F.when(F.col("_kind") == 0, seen))
+        rows.withColumn("_e", ordinal)
+        .withColumn("_all", F.collect_list("_day").over(back))
         .filter(F.col("_kind") == 0)
-        .drop("_kind")
+        .select(*keys, day, *carry, F.slice(F.flatten("_all"), 1, k).alias(out))
     )
 
 
@@ -181,7 +179,7 @@ def bounded_window(
         .filter(F.col("_rn") <= reach)
         .groupBy(*keys, "_b")
         .agg(
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(F.struct((-F.col("_rn")).alias("_o"), F.struct(*columns).alias("_r")))
             ).alias("_tail")
         )

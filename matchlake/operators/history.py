@@ -296,7 +296,7 @@ def side_probes(history: DataFrame) -> DataFrame:
 def roster_groups(roster_key: Column, size: int) -> Column:
     """All groups of 1..size players of a roster, as sorted '|'-joined keys."""
     grown = F.aggregate(
-        F.array_sort(roster_of(roster_key)),
+        F.sort_array(roster_of(roster_key)),
         F.array(F.array().cast("array<string>")),
         lambda acc, x: F.concat(
             acc,
@@ -524,78 +524,104 @@ def recent_matches_asof(
     )
 
 
-def _total(array: Column, value) -> Column:
-    return F.aggregate(array, F.lit(0.0), lambda acc, x: acc + value(x))
+def _with_weighed(recent: DataFrame, p: ModelParams, fields: list[str]) -> DataFrame:
+    """``_w``: the entries of ``recent`` with their overlap ``o`` and weight ``w``.
 
+    Each array step is its own column, so it is evaluated once per row.
+    """
+    def weigh(x):
+        o = overlap(F.col("_now"), x["roster"], p.roster_size)
+        return F.struct(o.alias("o"), x["day"].alias("day"), *[x[f].alias(f) for f in fields])
+
+    return recent.withColumn("_now", roster_of("roster_key")).withColumn(
+        "_w", F.transform("recent", weigh)
+    )
+
+
+def _sums(array, start: list[str], step) -> Column:
+    """Several running sums over one pass of an array."""
+    zero = F.struct(*[F.lit(0.0).alias(name) for name in start])
 
-def _entry_weight(x: Column, p: ModelParams) -> Column:
-    return overlap(roster_of("roster_key"), x["roster"], p.roster_size)
+    def add(acc, x):
+        values = step(x)
+        return F.struct(*[(acc[name] + values[name]).alias(name) for name in start])
 
+    return F.aggregate(array, zero, add)
 
-def momentum_column(recent: Column, p: ModelParams = DEFAULTS) -> Column:
-    """Momentum from a newest-first array of earlier matches."""
+
+def with_momentum(recent: DataFrame, p: ModelParams = DEFAULTS) -> DataFrame:
+    """Momentum from ``recent``, a newest-first array of earlier matches."""
     n = p.momentum_last
-    weighed = F.transform(
-        F.slice(recent, 1, n),
+    placed = F.transform(
+        F.slice("_w", 1, n),
         lambda x, i: F.struct(
-            (
-                _entry_weight(x, p)
-                * ((n - i) / F.lit(float(n)))
-                * decay(x["day"], F.col("as_of_date"), p)
-            ).alias("w"),
+            (x["o"] * ((n - i) / F.lit(float(n))) * decay(x["day"], F.col("as_of_date"), p)).alias(
+                "w"
+            ),
             F.when(x["won"] == 1, 1.0).otherwise(-1.0).alias("r"),
         ),
     )
-    value = ratio(_total(weighed, lambda x: x["w"] * x["r"]), _total(weighed, lambda x: x["w"]))
-    return F.coalesce(rounded(value, 3), F.lit(0.0))
+    sums = _sums("_p", ["w", "wr"], lambda x: {"w": x["w"], "wr": x["w"] * x["r"]})
+    value = rounded(ratio(F.col("_s.wr"), F.col("_s.w")), 3)
+    return (
+        recent.withColumn("_p", placed)
+        .withColumn("_s", sums)
+        .withColumn("momentum", F.coalesce(value, F.lit(0.0)))
+        .drop("_p", "_s")
+    )
 
 
-def context_columns(recent: Column, p: ModelParams = DEFAULTS) -> dict[str, Column]:
-    """Recent rates, roster stability, rest days and opponent strength.
+def with_context(recent: DataFrame, p: ModelParams = DEFAULTS) -> DataFrame:
+    """Recent rates, roster stability, rest days and opponent strength from ``recent``.
 
     ``recent`` holds at most ``context_scan`` earlier matches; the first ``context_last``
     of them with a shared player count.
     """
-    weighed = F.filter(
-        F.transform(
-            recent,
-            lambda x, i: F.struct(
-                _entry_weight(x, p).alias("o"),
-                (_entry_weight(x, p) * decay(x["day"], F.col("as_of_date"), p)).alias("w"),
-                x["won"].alias("won"),
-                x["maps_won"].alias("maps_won"),
-                x["maps_played"].alias("maps_played"),
-                x["opponent_rate"].alias("rate"),
-            ),
-        ),
-        lambda x: x["o"] > 0,
-    )
-    used = F.slice(weighed, 1, p.context_last)
-    weight = _total(used, lambda x: x["w"])
-    first = F.get(recent, 0)
-    fresh = first.isNotNull() & (_entry_weight(first, p) > 0)
-    rest = F.when(fresh, F.date_diff("as_of_date", first["day"]).cast("double")).otherwise(
-        F.lit(p.default_rest_days)
+    used = F.slice(F.filter("_w", lambda x: x["o"] > 0), 1, p.context_last)
+
+    def step(x):
+        w = x["o"] * decay(x["day"], F.col("as_of_date"), p)
+        return {
+            "o": x["o"],
+            "w": w,
+            "won": w * x["won"],
+            "maps_won": w * x["maps_won"],
+            "maps": w * x["maps_played"],
+            "rate": w * F.coalesce(x["opponent_rate"], F.lit(0.0)),
+        }
+
+    sums = _sums("_u", ["o", "w", "won", "maps_won", "maps", "rate"], step)
+    first = F.get("_w", 0)
+    rest = F.when(
+        first["o"] > 0, F.date_diff("as_of_date", first["day"]).cast("double")
+    ).otherwise(F.lit(p.default_rest_days))
+
+    def rate(num, den, times=100.0):
+        return F.coalesce(rounded(ratio(num, den, times=times), 1), F.lit(0.0))
+
+    return (
+        recent.withColumn("_u", used)
+        .withColumn("_s", sums)
+        .withColumns(
+            {
+                "recent_win_rate": rate("_s.won", "_s.w"),
+                "recent_map_win_rate": rate("_s.maps_won", "_s.maps"),
+                "roster_stability": rate("_s.o", F.size("_u")),
+                "rest_days": rounded(rest, 1),
+                "opponent_strength": rate("_s.rate", "_s.w", 1.0),
+            }
+        )
+        .drop("_u", "_s")
     )
 
-    def rate(num, den):
-        return F.coalesce(rounded(ratio(num, den, times=100), 1), F.lit(0.0))
 
-    return {
-        "recent_win_rate": rate(_total(used, lambda x: x["w"] * x["won"]), weight),
-        "recent_map_win_rate": rate(
-            _total(used, lambda x: x["w"] * x["maps_won"]),
-            _total(used, lambda x: x["w"] * x["maps_played"]),
-        ),
-        "roster_stability": rate(_total(used, lambda x: x["o"]), F.size(used)),
-        "rest_days": rounded(rest, 1),
-        "opponent_strength": F.coalesce(
-            rounded(
-                ratio(_total(used, lambda x: x["w"] * F.coalesce(x["rate"], F.lit(0.0))), weight), 1
-            ),
-            F.lit(0.0),
-        ),
-    }
+def momentum_asof(
+    history: DataFrame, probes: DataFrame, p: ModelParams = DEFAULTS
+) -> DataFrame:
+    recent = recent_matches_asof(history, probes, p.momentum_last)
+    return with_momentum(_with_weighed(recent, p, ["won"]), p).select(
+        "team", "roster_key", "as_of_date", "momentum"
+    )
 
 
 def with_opponent_rate(history: DataFrame, records: DataFrame) -> DataFrame:
@@ -619,15 +645,9 @@ def recent_context_asof(
     recent = recent_matches_asof(
         with_opponent_rate(history, records), probes, p.context_scan, ["opponent_rate"]
     )
-    array = F.coalesce(F.col("recent"), F.expr("slice(recent, 1, 0)"))
-    columns = context_columns(array, p)
-    return recent.select(
-        "team",
-        "roster_key",
-        "as_of_date",
-        momentum_column(array, p).alias("momentum"),
-        *[c.alias(name) for name, c in columns.items()],
-    )
+    fields = ["won", "maps_won", "maps_played", "opponent_rate"]
+    weighed = _with_weighed(recent, p, fields)
+    return with_context(with_momentum(weighed, p), p).drop("recent", "_now", "_w")
 
 
 def form_asof(
@@ -649,10 +669,7 @@ def form_asof(
         own = weighted_record_asof(form_history, side_probes(form_history), p, counts=False)
         form = form.join(recent_context_asof(form_history, probes, own, p), keys)
     else:
-        recent = recent_matches_asof(form_history, probes, p.momentum_last)
-        form = form.join(
-            recent.select(*keys, momentum_column(F.col("recent"), p).alias("momentum")), keys
-        )
+        form = form.join(momentum_asof(form_history, probes, p), keys)
     if modes:
         form = form.join(mode_stats_asof(form_history, probes, p), keys)
     return form.withColumn("roster", roster_of("roster_key"))
@@ -848,5 +865,5 @@ def rolling_results(matches: DataFrame, map_rows: DataFrame, size: int = 10) ->
     letter = F.when(F.col("won") == 1, "W").otherwise("L")
     entry = F.struct("match_date", "match_id", "map_number", letter.alias("r"))
     return rows.groupBy("team", "kind").agg(
-        F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["r"]).alias("results")
+        F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["r"]).alias("results")
     )

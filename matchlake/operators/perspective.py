@@ -192,7 +192,7 @@ def lineups(player_match_stats: DataFrame) -> DataFrame:
     those already have.
     """
     return player_match_stats.groupBy("match_id").agg(
-        F.array_sort(F.collect_set(F.struct("team", "player_name"))).alias("lineup")
+        F.sort_array(F.collect_set(F.struct("team", "player_name"))).alias("lineup")
     )
 
 
@@ -219,7 +219,7 @@ def rosters(player_match_stats: DataFrame) -> DataFrame:
     """One row per (match, team) with its sorted players."""
     return (
         player_match_stats.groupBy("match_id", "team")
-        .agg(F.array_sort(F.collect_set("player_name")).alias("roster"))
+        .agg(F.sort_array(F.collect_set("player_name")).alias("roster"))
         .withColumn("roster_key", roster_key("roster"))
     )
 

@@ -120,7 +120,7 @@ def team_card(matches: DataFrame, map_results: DataFrame) -> DataFrame:
         )
         .groupBy("team")
         .agg(
-            F.array_sort(F.collect_list(F.struct("mode", "maps", "wins", "win_rate"))).alias("modes")
+            F.sort_array(F.collect_list(F.struct("mode", "maps", "wins", "win_rate"))).alias("modes")
         )
     )
     return overall.join(modes, "team", "left")

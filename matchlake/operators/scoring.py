@@ -197,77 +197,103 @@ def with_series_walk(df: DataFrame, p: ModelParams = DEFAULTS) -> DataFrame:
 # ---- map pool ---------------------------------------------------------------
 
 
-def team_plays(map_performance: DataFrame) -> DataFrame:
-    """Per team a map 'mode|map' -> (plays, win rate); bounded by modes x maps."""
-    entry = F.struct(
-        F.concat_ws("|", "mode", "map_name"),
-        F.struct(F.col("weighted_plays").alias("plays"), F.col("win_rate").alias("rate")),
-    )
-    return map_performance.groupBy("team").agg(
-        F.map_from_entries(F.collect_list(entry)).alias("plays")
+def pool_rows(map_results: DataFrame, p: ModelParams = DEFAULTS) -> DataFrame:
+    """Every map of every scored mode."""
+    return (
+        map_results.filter(F.col("mode").isin(mode_list(p))).select("mode", "map_name").distinct()
     )
 
 
-def pool_column(map_results: DataFrame, p: ModelParams = DEFAULTS) -> Column:
-    """Scalar subquery: mode -> sorted map names (a list of distinct names, not of plays)."""
-    per_mode = (
-        map_results.filter(F.col("mode").isin(mode_list(p)))
-        .groupBy("mode")
-        .agg(F.array_sort(F.collect_set("map_name")).alias("maps"))
+def team_plays(map_performance: DataFrame, pool: DataFrame) -> DataFrame:
+    """Per team and mode an array with one entry per map of the pool, in the pool's order.
+
+    Both sides of a fixture then line up by position. The arrays are as long as the pool
+    of one mode, whatever the number of plays.
+    """
+    teams = map_performance.select("team", "mode").distinct()
+    entry = F.struct("map_name", "plays", "rate")
+    filled = (
+        teams.join(pool, "mode")
+        .join(map_performance, ["team", "mode", "map_name"], "left")
+        .select(
+            "team",
+            "mode",
+            "map_name",
+            or_zero("weighted_plays").cast("double").alias("plays"),
+            F.coalesce("win_rate", F.lit(50.0)).alias("rate"),
+        )
     )
-    return per_mode.agg(
-        F.map_from_entries(F.collect_list(F.struct("mode", "maps"))).alias("pool")
-    ).scalar()
+    return filled.groupBy("team", "mode").agg(F.sort_array(F.collect_list(entry)).alias("plays"))
 
 
 def with_map_pool(
-    fixtures: DataFrame, plays: DataFrame, pool: Column, p: ModelParams = DEFAULTS
+    fixtures: DataFrame, plays: DataFrame, pool: DataFrame, p: ModelParams = DEFAULTS
 ) -> DataFrame:
     """Most played unused map per slot.
 
     Plays do not change between slots, so the k-th slot of a mode takes the k-th ranked
     map; when the pool is shorter than that, its first map is used again.
     """
+    modes = mode_list(p)
+    wide = plays.groupBy("team").agg(
+        *[F.max(F.when(F.col("mode") == m, F.col("plays"))).alias(f"p{i}")
+          for i, m in enumerate(modes)]
+    )
     df = fixtures
     for side in ("a", "b"):
         df = df.join(
-            plays.select(F.col("team").alias(f"team_{side}"), F.col("plays").alias(f"_{side}")),
+            wide.select(
+                F.col("team").alias(f"team_{side}"),
+                *[F.col(f"p{i}").alias(f"_{side}{i}") for i in range(len(modes))],
+            ),
             f"team_{side}",
             "left",
         )
-    df = df.withColumn("_pool", pool)
-
-    def candidate_of(mode):
-        def candidate(name):
-            key = F.concat(F.lit(mode + "|"), name)
-            a, b = F.col("_a")[key], F.col("_b")[key]
-            a_plays, b_plays = or_zero(a["plays"]), or_zero(b["plays"])
-            return F.struct(
-                (-(a_plays + b_plays)).cast("double").alias("order"),
-                name.alias("map_name"),
-                a_plays.cast("double").alias("a_plays"),
-                b_plays.cast("double").alias("b_plays"),
-                F.coalesce(a["rate"], F.lit(50.0)).alias("a_rate"),
-                F.coalesce(b["rate"], F.lit(50.0)).alias("b_rate"),
-            )
+    names = pool.groupBy("mode").agg(F.sort_array(F.collect_set("map_name")).alias("maps"))
+    lists = names.agg(
+        *[F.max(F.when(F.col("mode") == m, F.col("maps"))).alias(f"l{i}")
+          for i, m in enumerate(modes)]
+    ).select(F.struct(*[f"l{i}" for i in range(len(modes))]).alias("l"))
+    df = df.withColumn("_pool", lists.scalar())
+
+    def nothing(name):
+        return F.struct(
+            name.alias("map_name"), F.lit(0.0).alias("plays"), F.lit(50.0).alias("rate")
+        )
 
-        return candidate
+    def merged(x, y):
+        return F.struct(
+            (-(x["plays"] + y["plays"])).alias("order"),
+            x["map_name"].alias("map_name"),
+            x["plays"].alias("a_plays"),
+            y["plays"].alias("b_plays"),
+            x["rate"].alias("a_rate"),
+            y["rate"].alias("b_rate"),
+        )
 
-    ranked = {
-        f"_r{i}": F.array_sort(F.transform(F.col("_pool")[mode], candidate_of(mode)))
-        for i, mode in enumerate(mode_list(p))
-    }
-    df = df.withColumns(ranked)
-    index = {mode: i for i, mode in enumerate(mode_list(p))}
+    # a side without plays of a mode has an untouched pool
+    for i in range(len(modes)):
+        blank = F.transform(F.col(f"_pool.l{i}"), nothing)
+        df = df.withColumns(
+            {f"_{s}{i}": F.coalesce(F.col(f"_{s}{i}"), blank) for s in ("a", "b")}
+        )
+    df = df.withColumns(
+        {
+            f"_r{i}": F.sort_array(F.zip_with(f"_a{i}", f"_b{i}", merged))
+            for i in range(len(modes))
+        }
+    )
+    # only the ranks that slots can take go on
+    need = {mode: p.series_modes.count(mode) for mode in modes}
+    df = df.withColumns({f"_r{i}": F.slice(f"_r{i}", 1, need[m]) for i, m in enumerate(modes)})
     used: dict[str, int] = {}
     slots = []
     for number, mode in enumerate(p.series_modes, 1):
         k = used.get(mode, 0)
         used[mode] = k + 1
-        i = index[mode]
-        pick, first = F.get(f"_r{i}", F.lit(k)), F.get(F.col("_pool")[mode], 0)
-        total = pick["a_plays"] + pick["b_plays"]
-        trust = F.least(total, F.lit(10.0)) / 10.0
+        i = modes.index(mode)
+        pick, first = F.get(f"_r{i}", F.lit(k)), F.get(F.col(f"_pool.l{i}"), 0)
+        trust = F.least(pick["a_plays"] + pick["b_plays"], F.lit(10.0)) / 10.0
         slots.append(
             F.struct(
                 F.lit(number).alias("map_number"),
@@ -284,9 +310,8 @@ def with_map_pool(
                 .alias("reason"),
             )
         )
-    return df.withColumn("predicted_maps", F.array(*slots)).drop(
-        "_a", "_b", "_pool", *ranked.keys()
-    )
+    scratch = [f"_{x}{i}" for x in ("a", "b", "r") for i in range(len(modes))]
+    return df.withColumn("predicted_maps", F.array(*slots)).drop("_pool", *scratch)
 
 
 # ---- single maps and rotations ----------------------------------------------

@@ -61,8 +61,9 @@ def score_current(
     df = _statistical(df, p)
     if map_pool:
         maps = P.map_history(matches, map_results, player_match_stats)
-        plays = S.team_plays(H.map_performance(maps, H.current_rosters(form_history), p))
-        df = S.with_map_pool(df, plays, S.pool_column(map_results, p), p)
+        pool = S.pool_rows(map_results, p)
+        best = H.map_performance(maps, H.current_rosters(form_history), p)
+        df = S.with_map_pool(df, staged(S.team_plays(best, pool)), pool, p)
     return df
 
 

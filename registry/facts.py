@@ -525,7 +525,7 @@ def _match_pages(t):
     maps = t.map_results.groupBy("match_id").agg(
         F.array_join(
             F.transform(
-                F.array_sort(
+                F.sort_array(
                     F.collect_list(
                         F.struct(
                             "map_number",
@@ -565,7 +565,7 @@ def _match_pages(t):
         .agg(F.collect_list(stat).alias("player_stats"))
         .groupBy("match_id")
         .agg(
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(F.struct(F.col("map_number").alias("game_num"), "player_stats"))
             ).alias("games")
         )

@@ -91,10 +91,7 @@ def _(t):
 @query("momentum_asof", sql("SELECT * FROM asof_momentum"))
 def _(t):
     rows = form_history(t)
-    recent = H.recent_matches_asof(rows, H.side_probes(rows), 5)
-    return recent.select(
-        "team", "roster_key", "as_of_date", H.momentum_column(F.col("recent")).alias("momentum")
-    )
+    return H.momentum_asof(rows, H.side_probes(rows))
 
 
 @query("recent_context", sql("SELECT * FROM asof_context"))
@@ -233,7 +230,9 @@ JOIN (SELECT *, ROW_NUMBER() OVER (PARTITION BY fixture_id, mode ORDER BY a_play
   ON r.fixture_id = f.fixture_id AND r.mode = s.mode AND r.rn = s.k"""))
 def _(t):
     rows = H.map_performance(map_history(t), H.current_rosters(form_history(t)))
-    df = S.with_map_pool(t.fixtures, S.team_plays(rows), S.pool_column(t.map_results))
+    pool = S.pool_rows(t.map_results)
+    plays = staged(S.team_plays(staged(rows), pool))
+    df = S.with_map_pool(t.fixtures, plays, pool)
     return r6(df.select("fixture_id", F.inline("predicted_maps")).drop("reason"))
 
 
