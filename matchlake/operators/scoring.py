@@ -540,15 +540,17 @@ def convert_series_length(
     df = df.withColumn("map_probability_a", implied_map_probability(F.col(prob_a) / 100.0, wins_from))
     pa = F.col("map_probability_a")
     df = df.withColumn("long_probability_a", series_win(pa, wins_to) * 100.0)
-    a_ahead = F.col("long_probability_a") > 50.0
+    # equal chances (one half exactly) must not be decided by the last digit of a double
+    a_ahead = F.col("long_probability_a") > 50.0 + 1e-6
     fav = F.when(a_ahead, pa).otherwise(1.0 - pa)
     scores = [
         F.struct(
-            (
+            rounded(
                 F.pow(fav, F.lit(wins_to))
                 * F.pow(1.0 - fav, F.lit(k))
                 * float(_choose(wins_to - 1 + k, k))
-                * 100.0
+                * 100.0,
+                8,
             ).alias("chance"),
             F.lit(f"{wins_to}-{k}").alias("score"),
         )

@@ -258,19 +258,16 @@ FROM (SELECT *, CAST({prob} AS DOUBLE) AS prob FROM (
   SELECT f.match_id, f.map_number, f.team_a, f.team_b, COALESCE(a.n, 0) AS na, COALESCE(b.n, 0) AS nb,
     {shrunk('a')} AS pa, {shrunk('b')} AS pb
   FROM map_facts f
-  LEFT JOIN (SELECT team, mode, map_name, COUNT(*) AS n, SUM(won) AS won FROM map_rows WHERE match_date < DATE '1997-01-01'
-             GROUP BY 1, 2, 3) a ON a.team = f.team_a AND a.mode = f.mode AND a.map_name = f.map_name
-  LEFT JOIN (SELECT team, mode, map_name, COUNT(*) AS n, SUM(won) AS won FROM map_rows WHERE match_date < DATE '1997-01-01'
-             GROUP BY 1, 2, 3) b ON b.team = f.team_b AND b.mode = f.mode AND b.map_name = f.map_name))""")
+  LEFT JOIN (SELECT team, mode, map_name, COUNT(*) AS n, SUM(won) AS won FROM map_rows GROUP BY 1, 2, 3) a ON a.team = f.team_a AND a.mode = f.mode AND a.map_name = f.map_name
+  LEFT JOIN (SELECT team, mode, map_name, COUNT(*) AS n, SUM(won) AS won FROM map_rows GROUP BY 1, 2, 3) b ON b.team = f.team_b AND b.mode = f.mode AND b.map_name = f.map_name))""")
 
 
 def _single(t, **options):
     rows = P.map_rows(t.matches, t.map_results)
-    early = rows.filter(F.col("match_date") < F.lit("1997-01-01").cast("date"))
     requests = P.map_facts(t.matches, t.map_results).select(
         "match_id", "map_number", "team_a", "team_b", "mode", "map_name"
     )
-    out = S.predict_maps(requests, R.team_map_mode(early), **options)
+    out = S.predict_maps(requests, R.team_map_mode(rows), **options)
     return out.drop("team_a", "team_b", "mode", "map_name", "confidence")
 
 
@@ -340,27 +337,24 @@ def _conversion_sql():
                       for i in range(1, 41))
     base = sql("""SELECT fixture_id, team_a, team_b, statistical_probability / 100.0 AS target FROM predictions""")
     best = ", ".join(
-        f"{c} * POW(f, 4) * POW(1.0::DOUBLE - f, {k}) * 100.0 AS c{k}" for k, c in enumerate((1, 4, 10, 20))
+        f"{rnd(f'{c} * POW(f, 4) * POW(1.0::DOUBLE - f, {k}) * 100.0', 8)} AS c{k}" for k, c in enumerate((1, 4, 10, 20))
     )
     return f"""WITH RECURSIVE base AS ({base}),
 s0 AS (SELECT fixture_id, team_a, team_b, target, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi FROM base), {steps},
 p AS (SELECT fixture_id, team_a, team_b, (lo + hi) / 2 AS p FROM s40),
 w AS (SELECT *, {win('p', 4)} * 100.0 AS lw FROM p),
-g AS (SELECT *, CASE WHEN lw > 50.0 THEN p ELSE 1.0 - p END AS f FROM w),
+g AS (SELECT *, CASE WHEN lw > 50.0 + 1e-6 THEN p ELSE 1.0 - p END AS f FROM w),
 k AS (SELECT *, {best} FROM g)
 SELECT fixture_id, {rnd('p')} AS map_probability_a, {rnd('lw')} AS long_probability_a,
-  CASE WHEN lw > 50.0 THEN team_a ELSE team_b END AS long_winner,
+  CASE WHEN lw > 50.0 + 1e-6 THEN team_a ELSE team_b END AS long_winner,
   CASE WHEN c3 >= GREATEST(c0, c1, c2) THEN '4-3' WHEN c2 >= GREATEST(c0, c1) THEN '4-2' WHEN c1 >= c0 THEN '4-1'
-    ELSE '4-0' END AS long_score, {rnd('GREATEST(c0, c1, c2, c3)')} AS long_score_probability FROM k
-WHERE ABS(p - 0.5) > 1e-6"""
+    ELSE '4-0' END AS long_score, {rnd('GREATEST(c0, c1, c2, c3)')} AS long_score_probability FROM k"""
 
 
 @query("series_conversion", _conversion_sql())
 def _(t):
     df = predictions(t).withColumnRenamed("statistical_probability", "team_a_probability")
     out = S.convert_series_length(df.select("fixture_id", "team_a", "team_b", "team_a_probability"))
-    # at exactly one half the favourite is a matter of the last digit
-    out = out.filter(F.abs(F.col("map_probability_a") - 0.5) > 1e-6)
     return r6(
         out, "fixture_id", "map_probability_a", "long_probability_a", "long_winner", "long_score",
         "long_score_probability",
