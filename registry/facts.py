@@ -242,7 +242,6 @@ def _(t):
 
 # ---- top lists --------------------------------------------------------------
 
-TOP = "ORDER BY ROUND({by}, 9) DESC, player_name LIMIT {k}"
 
 
 @query("top_players", sql(f"""SELECT player_name, current_team, {rnd('avg_rating')} AS avg_rating FROM players
