@@ -29,17 +29,21 @@ def upsert(
     return kept.unionByName(delta, allowMissingColumns=True)
 
 
-_OWN_FOLDER: list[str] = []
-
-
 def staging_folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a folder of our own only without one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The shared folder of the session, ``spark.checkpoint.dir``.
+
+    Without that setting only a local master may go on, with a folder of its own that is
+    remembered in the session: driver and tasks are one process there. On a cluster a
+    machine-local folder would lose rows, so that is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not _OWN_FOLDER:
-        _OWN_FOLDER.append(tempfile.mkdtemp(prefix="matchlake-"))
-    return _OWN_FOLDER[0]
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="matchlake-")
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
 
 
 def staged(df: DataFrame) -> DataFrame:
