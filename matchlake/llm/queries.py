@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import decontaminate, line_dedup, packing, quality_classifier, quality_rules, token_counts, toxicity
+from matchlake.llm import (
+    decontaminate,
+    jaccard,
+    line_dedup,
+    packing,
+    quality_classifier,
+    quality_rules,
+    token_counts,
+    toxicity,
+    warc,
+)
 from matchlake.llm.common import table
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -75,6 +85,27 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+@query("op5_warc", r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS largest FROM pages),
+h AS (SELECT *, sha1(body) AS hex FROM p),
+g AS (SELECT *, list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
+        ((CAST(concat('0x', substr(hex, CAST((i // 4) * 5 + 1 AS BIGINT), 5)) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31),
+        1)) AS letters FROM h)
+SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, array_to_string(letters, '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM largest OR largest IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM largest THEN largest END AS refers_to
+FROM g
+""")
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(table(spark, sf_dir, "pages")))
+
+
+@query("op6_jaccard_join")
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).drop("digest")
+
+
 @query("op8_line_dedup", r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT rid, doc_id, i, ls[i] AS line,
