@@ -15,6 +15,7 @@ from matchlake.llm import (
     packing,
     quality_classifier,
     quality_rules,
+    suffix_dedup,
     token_counts,
     toxicity,
     warc,
@@ -106,6 +107,11 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents")).drop("digest")
 
 
+@query("op7_suffix_dedup")
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 @query("op8_line_dedup", r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT rid, doc_id, i, ls[i] AS line,
