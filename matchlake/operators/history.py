@@ -41,11 +41,18 @@ def latest_date(matches: DataFrame) -> Column:
 # ---- rosters ----------------------------------------------------------------
 
 
-def current_rosters(history: DataFrame) -> DataFrame:
-    """Roster of each team's latest match; the later match id decides a tie."""
+def known_by(history: DataFrame, as_of: Column | None) -> DataFrame:
+    """Rows of matches up to a day; undated ones are always known."""
+    if as_of is None:
+        return history
+    return history.filter(F.col("match_date").isNull() | (F.col("match_date") <= as_of))
+
+
+def current_rosters(history: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Roster of each team's latest match up to ``as_of``; the later match id decides a tie."""
     row = F.struct("match_id", "match_date", "roster", "roster_key")
     return (
-        history.groupBy("team")
+        known_by(history, as_of).groupBy("team")
         .agg(F.max_by(row, F.struct("match_date", "match_id")).alias("_r"))
         .select("team", "_r.*")
     )
@@ -138,7 +145,7 @@ def weighted_record(
     Matches are summed per (team, roster) first; the overlap then multiplies the sums.
     """
     w = decay("match_date", as_of, p)
-    ledger = history.groupBy("team", "roster_key").agg(
+    ledger = known_by(history, as_of).groupBy("team", "roster_key").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(w).alias("w"),
         F.sum(w * F.col("won")).alias("w_won"),
@@ -171,7 +178,7 @@ def momentum(
     newest = Window.partitionBy("team").orderBy(F.desc("match_date"), F.desc("match_id"))
     n = p.momentum_last
     last = (
-        history.select("team", "match_date", "match_id", "won", "roster_key")
+        known_by(history, as_of).select("team", "match_date", "match_id", "won", "roster_key")
         .withColumn("_rn", F.row_number().over(newest))
         .filter(F.col("_rn") <= n)
     )
@@ -201,7 +208,7 @@ def mode_stats(
     w = decay("match_date", as_of, p)
     diff = F.col("score_for") - F.col("score_against")
     m = margin_weight(diff, p)
-    ledger = map_history.groupBy("team", "roster_key", "mode").agg(
+    ledger = known_by(map_history, as_of).groupBy("team", "roster_key", "mode").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(w * m).alias("w"),
         F.sum(w * m * F.col("won")).alias("w_won"),
@@ -251,6 +258,7 @@ def current_form(
     p: ModelParams = DEFAULTS,
 ) -> DataFrame:
     """One row per team with everything the statistical model needs (``m<i>_*`` per mode)."""
+    form_history = known_by(form_history, as_of)
     current = current_rosters(form_history)
     w = decay("match_date", as_of, p)
     modes = range(len(mode_list(p)))
@@ -574,7 +582,7 @@ def with_momentum(recent: DataFrame, p: ModelParams = DEFAULTS) -> DataFrame:
 def with_context(recent: DataFrame, p: ModelParams = DEFAULTS) -> DataFrame:
     """Recent rates, roster stability, rest days and opponent strength from ``recent``.
 
-    ``recent`` holds at most ``context_scan`` earlier matches; the first ``context_last``
+    ``recent`` holds at most 4 times ``context_last`` (12 at least) earlier matches; the first ``context_last``
     of them with a shared player count.
     """
     used = F.slice(F.filter("_w", lambda x: x["o"] > 0), 1, p.context_last)
@@ -643,7 +651,7 @@ def recent_context_asof(
     ``records`` is the weighted record of every match side (for the opponents).
     """
     recent = recent_matches_asof(
-        with_opponent_rate(history, records), probes, p.context_scan, ["opponent_rate"]
+        with_opponent_rate(history, records), probes, max(4 * p.context_last, 12), ["opponent_rate"]
     )
     fields = ["won", "maps_won", "maps_played", "opponent_rate"]
     weighed = _with_weighed(recent, p, fields)
@@ -836,11 +844,12 @@ def meeting_numbers(matches: DataFrame) -> DataFrame:
     )
 
 
-def rolling_results(matches: DataFrame, map_rows: DataFrame, size: int = 10) -> DataFrame:
-    """Per team the latest 'W'/'L' letters of the series and of every mode, oldest first.
+def rolling_results(
+    matches: DataFrame, map_rows: DataFrame, size: int | None = None
+) -> DataFrame:
+    """Per team the 'W'/'L' letters of the series and of every mode, oldest first.
 
-    Rows are pruned to ``size`` per list before the shuffle; the full lists are the
-    ordered rows themselves (``results_list``).
+    With ``size`` only the newest letters, pruned to that number before the shuffle.
     """
     series = sides(
         matches,
@@ -858,10 +867,11 @@ def rolling_results(matches: DataFrame, map_rows: DataFrame, size: int = 10) ->
         "team", F.col("mode").alias("kind"), "match_date", "match_id", "map_number", "won"
     )
     rows = series.unionByName(maps)
-    newest = Window.partitionBy("team", "kind").orderBy(
-        F.desc("match_date"), F.desc("match_id"), F.desc("map_number")
-    )
-    rows = rows.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= size)
+    if size is not None:
+        newest = Window.partitionBy("team", "kind").orderBy(
+            F.desc("match_date"), F.desc("match_id"), F.desc("map_number")
+        )
+        rows = rows.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= size)
     letter = F.when(F.col("won") == 1, "W").otherwise("L")
     entry = F.struct("match_date", "match_id", "map_number", letter.alias("r"))
     return rows.groupBy("team", "kind").agg(

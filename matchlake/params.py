@@ -67,7 +67,6 @@ class ModelParams:
     momentum_last: int = 5
     # recent context
     context_last: int = 5
-    context_scan: int = 20
     default_rest_days: float = 30.0
     # score difference multiplier of a mode win
     diff_scale: float = 300.0

@@ -17,7 +17,6 @@ from matchlake.sources.store import staged
 
 LEAGUES = 20
 TEAMS_PER_LEAGUE = 12
-SCORING_START = "2001-05-01"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -138,8 +137,8 @@ class FixtureTables:
 
     @property
     def fixtures(self) -> DataFrame:
-        """Upcoming pairings: the matches since SCORING_START, seen from their own day."""
-        return self.matches.filter(F.col("match_date") >= F.lit(SCORING_START).cast("date")).select(
+        """Pairings to score: all matches, seen from their own day."""
+        return self.matches.select(
             F.col("match_id").alias("fixture_id"),
             "team_a",
             "team_b",

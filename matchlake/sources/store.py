@@ -16,15 +16,14 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def upsert(
-    base: DataFrame, delta: DataFrame, keys: list[str], order: list[str] | None = None
+    base: DataFrame, delta: DataFrame, keys: list[str], order: list[str]
 ) -> DataFrame:
-    """Rows of ``delta`` replace rows of ``base`` with the same key.
+    """Rows of ``delta`` replace rows of ``base`` with the same key; of several the last in ``order``.
 
     Base rows are only matched against the delta's keys, so a small delta is broadcast by
     the optimiser and the base is not shuffled.
     """
-    if order is not None:
-        delta = keep_last(delta, keys, order)
+    delta = keep_last(delta, keys, order)
     kept = base.join(delta.select(*keys).distinct(), keys, "left_anti")
     return kept.unionByName(delta, allowMissingColumns=True)
 
@@ -91,10 +90,9 @@ class VersionedTable:
         writer.parquet(f"{self.root}/v={version}")
         return self.read()
 
-    def upsert(self, delta: DataFrame, keys: list[str], order: list[str] | None = None):
+    def upsert(self, delta: DataFrame, keys: list[str], order: list[str]):
         if not self.exists():
-            first = delta if order is None else keep_last(delta, keys, order)
-            return self.write(first)
+            return self.write(keep_last(delta, keys, order))
         return self.write(upsert(self.read(), delta, keys, order))
 
 
@@ -111,11 +109,12 @@ def save_predictions(log: DataFrame, scored: DataFrame) -> DataFrame:
 def record_results(log: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(log with results filled in, results that match no prediction).
 
-    ``results``: match_date, team_a, team_b, winner, score, result_timestamp.
+    ``results``: match_date, team_a, team_b, winner, score, result_timestamp;
+    of several results of one key the newest counts.
     """
     from matchlake.schemas import PREDICTION_KEY
 
-    given = results.select(
+    given = keep_last(results, PREDICTION_KEY, ["result_timestamp", "winner", "score"]).select(
         *PREDICTION_KEY,
         F.col("winner").alias("_w"),
         F.col("score").alias("_s"),

@@ -80,7 +80,7 @@ FROM fx_player_map_stats GROUP BY match_id, player_name, team"""
 
 CTES["fx_fixtures"] = """
 SELECT match_id AS fixture_id, team_a, team_b, match_date AS as_of_date
-FROM fx_matches WHERE match_date >= DATE '2001-05-01'"""
+FROM fx_matches"""
 
 CTES["map_facts"] = """
 SELECT m.match_id, r.map_number, r.mode, r.map_name, m.match_date, m.team_a, m.team_b,

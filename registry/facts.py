@@ -423,7 +423,7 @@ def _(t):
 def _(t):
     base = t.matches.select("match_id", "team_a", "tournament")
     delta = base.filter(F.col("match_id") % 7 == 0).withColumn("tournament", F.lit("Corrected"))
-    return upsert(base, delta, ["match_id"])
+    return upsert(base, delta, ["match_id"], ["tournament"])
 
 
 # ---- documents --------------------------------------------------------------
@@ -706,11 +706,10 @@ def _(t):
 
 
 @query("rolling_results", sql("""SELECT team, kind, STRING_AGG(r, '' ORDER BY match_date, match_id, map_number) AS results FROM (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY team, kind ORDER BY match_date DESC, match_id DESC, map_number DESC) AS rn FROM (
-    SELECT team, 'Series' AS kind, match_date, match_id, 0 AS map_number, CASE WHEN won = 1 THEN 'W' ELSE 'L' END AS r FROM series_rows
-    UNION ALL
-    SELECT team, mode, match_date, match_id, map_number, CASE WHEN won = 1 THEN 'W' ELSE 'L' END FROM map_rows))
-WHERE rn <= 10 GROUP BY team, kind"""))
+  SELECT team, 'Series' AS kind, match_date, match_id, 0 AS map_number, CASE WHEN won = 1 THEN 'W' ELSE 'L' END AS r FROM series_rows
+  UNION ALL
+  SELECT team, mode, match_date, match_id, map_number, CASE WHEN won = 1 THEN 'W' ELSE 'L' END FROM map_rows)
+GROUP BY team, kind"""))
 def _(t):
     rows = H.rolling_results(t.matches, P.map_rows(t.matches, t.map_results))
     return rows.withColumn("results", F.array_join("results", ""))

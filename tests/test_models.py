@@ -194,8 +194,16 @@ def test_catalog(spark, tables, tmp_path):
     written = catalog.update_stats(spark, facts, str(tmp_path / "stats"))
     catalog.register(written)
     assert catalog.query(spark, "select count(*) from team_stats").first()[0] == 240
-    with pytest.raises(ValueError):
-        catalog.query(spark, "drop view team_stats")
+    out = tmp_path / "out"
+    for text in ["drop view team_stats", "set a=b", f"insert overwrite directory '{out}' using parquet select 1",
+                 f"with t as (select 1 a) insert overwrite directory '{out}' using parquet select * from t",
+                 "create table x as select 1", "select 1) t; drop view team_stats; select * from (select 1"]:
+        with pytest.raises(ValueError):
+            catalog.query(spark, text)
+    with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND|UNSUPPORTED"):
+        catalog.query(spark, f"select * from parquet.`{tmp_path}/stats/team_stats`").count()
+    assert catalog.query(spark, "with t as (select 1 a) select a from t -- all").first()[0] == 1
+    assert not out.exists()
 
 
 def test_methods(tables, scored):

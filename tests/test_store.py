@@ -24,8 +24,8 @@ def test_keep_last_drops_copies_before_the_shuffle(spark):
 def test_versions_and_staging(spark, tmp_path):
     table = VersionedTable(spark, str(tmp_path / "t"))
     assert not table.exists()
-    table.upsert(spark.createDataFrame([(1, "a")], "k int, v string"), ["k"])
-    table.upsert(spark.createDataFrame([(1, "b"), (2, "c")], "k int, v string"), ["k"])
+    table.upsert(spark.createDataFrame([(1, "a")], "k int, v string"), ["k"], ["v"])
+    table.upsert(spark.createDataFrame([(1, "b"), (2, "c"), (2, "b")], "k int, v string"), ["k"], ["v"])
     assert {tuple(r) for r in table.read().collect()} == {(1, "b"), (2, "c")}
     df = staged(spark.range(5))
     assert df.count() == 5 and "Range" not in df._jdf.queryExecution().executedPlan().toString()
