@@ -659,13 +659,10 @@ def _(t):
     )
 
 
-SETTING = ((0.3, False, False),)
-
-
 @query("learned_scores")
 def _(t):
-    """One setting, trained on all past matches and applied to the upcoming fixtures."""
-    model = L.train(training_set(t), SETTING, max_splits=2)
+    """The setting that validates best, trained on all matches, calibrated, applied to all fixtures."""
+    model = L.train(training_set(t))
     features = L.fixture_features(
         t.fixtures, t.matches, t.map_results, t.player_match_stats, form_history=t.form_history
     )
@@ -676,14 +673,14 @@ def _(t):
 
 @query("feature_importance")
 def _(t):
-    model = L.train(training_set(t), SETTING, max_splits=2, calibrate=False)
+    model = L.train(training_set(t))
     return r6(L.feature_importance(t.spark, model))
 
 
 @query("candidate_report")
 def _(t):
-    """Chronological validation of three settings."""
-    model = L.train(training_set(t), L.CANDIDATES[:3], max_splits=3, calibrate=False)
+    """Chronological validation of all settings over all folds."""
+    model = L.train(training_set(t))
     return L.candidate_report(t.spark, model.candidates)
 
 

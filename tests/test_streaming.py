@@ -42,6 +42,20 @@ def test_ingest_and_refresh_of_touched_keys(spark, tmp_path):
     assert store.fact("matches").count() == 4
     assert store.fact("map_results").filter("match_id = '2'").count() == 3
     whole = rollups(store.facts())
+    for name in TOUCHED:
+        assert rows(store.rollup(name)) == rows(whole[name]), name
+    time.sleep(1.1)
+    # a correction that takes the only match of a team away: its rows go too
+    wrong = document("5", date="2026-01-05")
+    wrong["match_info"]["team_b"] = "Wrong"
+    (source / "5.json").write_text(json.dumps(wrong))
+    store = ingest(spark, tmp_path)
+    assert store.rollup("team_stats").filter("team = 'Wrong'").count() == 1
+    time.sleep(1.1)
+    (source / "5b.json").write_text(json.dumps(document("5", date="2026-01-05")))
+    store = ingest(spark, tmp_path)
+    whole = rollups(store.facts())
+    assert store.rollup("team_stats").filter("team = 'Wrong'").count() == 0
     for name in TOUCHED:
         assert rows(store.rollup(name)) == rows(whole[name]), name
     store.compact(str(tmp_path / "compact"))
