@@ -239,7 +239,8 @@ def with_map_pool(
         *[F.max(F.when(F.col("mode") == m, F.col("plays"))).alias(f"p{i}")
           for i, m in enumerate(modes)]
     )
-    df = fixtures
+    # the view is the same on every day: each pair is worked out once
+    df = fixtures.select("team_a", "team_b").distinct()
     for side in ("a", "b"):
         df = df.join(
             wide.select(
@@ -310,8 +311,11 @@ def with_map_pool(
                 .alias("reason"),
             )
         )
-    scratch = [f"_{x}{i}" for x in ("a", "b", "r") for i in range(len(modes))]
-    return df.withColumn("predicted_maps", F.array(*slots)).drop("_pool", *scratch)
+    done = df.select(
+        F.col("team_a").alias("_a"), F.col("team_b").alias("_b"), F.array(*slots).alias("predicted_maps")
+    )
+    same = F.col("team_a").eqNullSafe(F.col("_a")) & F.col("team_b").eqNullSafe(F.col("_b"))
+    return fixtures.join(done, same).drop("_a", "_b")
 
 
 # ---- single maps and rotations ----------------------------------------------
