@@ -81,7 +81,13 @@ class LeagueRatings:
 def rating_input(
     matches: DataFrame, player_match_stats: DataFrame, p: ModelParams = DEFAULTS
 ) -> DataFrame:
-    """One narrow row per match that has a complete roster on both sides."""
+    """One narrow row per match that has a complete roster on both sides.
+
+    Ids keep their type, so matches of documents (text ids) come in as they are. Without
+    ``league_id`` all matches form one league.
+    """
+    if "league_id" not in matches.columns:
+        matches = matches.withColumn("league_id", F.lit(0))
     rows = matches.join(lineups(player_match_stats), "match_id")
     return (
         rows.withColumn("_ra", roster_from_lineup(F.col("team_a")))
@@ -89,7 +95,7 @@ def rating_input(
         .filter((F.size("_ra") == p.roster_size) & (F.size("_rb") == p.roster_size))
         .select(
             F.col("league_id").cast("long").alias("league_id"),
-            F.col("match_id").cast("long").alias("match_id"),
+            "match_id",
             "match_date",
             "team_a",
             "team_b",
@@ -132,11 +138,12 @@ def rating_history(
                     current[league] = LeagueRatings(p)
             yield fold_batch(pdf, current)
 
+    rows = rating_input(matches, player_match_stats, p)
+    schema = RATED_SCHEMA.replace("match_id long", f"match_id {dict(rows.dtypes)['match_id']}")
     return (
-        rating_input(matches, player_match_stats, p)
-        .repartition("league_id")
+        rows.repartition("league_id")
         .sortWithinPartitions("league_id", "match_date", "match_id")
-        .mapInPandas(fold, RATED_SCHEMA)
+        .mapInPandas(fold, schema)
     )
 
 

@@ -97,3 +97,17 @@ def test_unrated_roster_inherits(spark, rated):
     late = spark.createDataFrame([(best.team, key, "2030-01-01")], "team string, roster_key string, d string")
     late = late.select("team", "roster_key", F.col("d").cast("date").alias("as_of_date"))
     assert E.ratings_asof(rated, late).first().rating == pytest.approx(got[best.team].rating, abs=1e-6)
+
+
+def test_from_files_to_ratings(spark, tmp_path):
+    from matchlake.sources import documents as docs
+    from tests.test_documents import document, write
+
+    path = write(tmp_path, {f"{i}.json": document(f"m-{i}", date=f"2026-01-0{i}") for i in (1, 2, 3)})
+    good, _ = docs.split_readable(docs.read_documents(spark, path))
+    t = docs.shred(docs.current_documents(good, ["source_file"]))
+    got = E.rating_history(t["matches"], t["player_match_stats"]).orderBy("match_date").collect()
+    assert [r.match_id for r in got] == ["m-1", "m-2", "m-3"]
+    assert (got[0].before_a, got[0].before_b) == (1500.0, 1500.0)
+    assert all(b.before_a == pytest.approx(a.after_a) for a, b in zip(got, got[1:]))
+    assert E.rating_board(E.rating_history(t["matches"], t["player_match_stats"])).count() == 2
