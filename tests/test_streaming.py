@@ -29,8 +29,11 @@ def test_ingest_and_refresh_of_touched_keys(spark, tmp_path):
     for i in (1, 2, 3):
         (source / f"{i}.json").write_text(json.dumps(document(str(i), date=f"2026-01-0{i}")))
     (source / "short.json").write_text(json.dumps(document("9", names="abc")))
+    (source / "broken.json").write_text('{"match_info": ')
     store = ingest(spark, tmp_path)
     assert store.fact("matches").count() == 3
+    assert {r.reason for r in store.log("rejected").collect()} == {"not readable", "incomplete player stats: 3 vs 3"}
+    assert {r.outcome: r.documents for r in store.log("tally").collect()} == {"imported": 3, "failed": 2}
     time.sleep(1.1)
     # a corrected copy with fewer maps, and a new match
     fixed = document("2", date="2026-01-02")
