@@ -16,7 +16,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +29,8 @@ SENTENCE_PENALTY = 8
 INSIDE_PENALTY = 32
 #: Cost of a sequence that is a shorter power of two: few full sequences are better than many short.
 SHORT_PENALTY = 16
+#: Shorter powers of two are not tried.
+SHORTEST = 64
 #: Tokens that are packed together; the last sequence of a block may be padded.
 BLOCK_TOKENS = 2_000_000
 #: Chunks between white space whose ids a Python worker keeps.
@@ -84,18 +85,17 @@ class Encoder:
 
     def _learn(self, chunks: set[str]) -> None:
         whole, parts = [], []
+        cores = self.cores
         for c in chunks:
             word = c.rstrip(".,;:!?")
             if word.isalpha():
                 parts.append((c, word.lower() if word.isascii() else word, c[len(word) :]))
             else:
                 whole.append(c)
-        self._learn_cores(list({w for _, w, _ in parts if w not in self.cores}))
-        self._learn_rest(list({t for _, _, t in parts if t and t not in self.cores}), self.cores)
+        self._learn_cores(list({w for _, w, _ in parts if w not in cores}))
+        self._learn_rest(list({t for _, _, t in parts if t and t not in cores}), cores)
         self._learn_rest(whole, self.known)
-        cores = self.cores
-        for c, word, tail in parts:
-            self.known[c] = cores[word] + cores[tail] if tail else cores[word]
+        self.known.update({c: cores[word] + cores[tail] if tail else cores[word] for c, word, tail in parts})
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         chunked = [_CHUNK.findall(t) if t else [] for t in texts]
@@ -103,7 +103,9 @@ class Encoder:
             if len(kept) > CACHE_CHUNKS:
                 kept.clear()
         known = self.known
-        self._learn({c for chunks in chunked for c in chunks if c not in known})
+        new = set().union(*chunked).difference(known)
+        if new:
+            self._learn(new)
         return [b"".join([known[c] for c in chunks]) for chunks in chunked]
 
 
@@ -128,30 +130,36 @@ def choose_cuts(at: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> list[i
     """
     n = len(at)
     partners: dict[int, list[int]] = {}
-    power = 1 << max(size.bit_length() - 3, 0)  # shorter ones never pay for their sequence
+    power = SHORTEST
     while power < size:  # both ends of a short window without padding are candidates
         left = np.searchsorted(at, at - power)
-        for j in np.flatnonzero((at >= power) & (at[left] == at - power)):
-            partners.setdefault(int(j), []).append(int(left[j]))
+        right = np.flatnonzero((at >= power) & (at[left] == at - power))
+        for j, k in zip(right.tolist(), left[right].tolist()):
+            partners.setdefault(j, []).append(k)
         power *= 2
     where, cost = at.tolist(), penalty.tolist()
     best, came = [0] * n, [0] * n
-    queue: deque[tuple[int, int]] = deque([(0, 0)])  # (best + at, index), increasing
+    low, who, front = [0], [0], 0  # the queue: best + at, increasing, and its cut
     for j in range(1, n):
         here = where[j]
-        while here - where[queue[0][1]] > size:
-            queue.popleft()
-        low, i = queue[0]
-        value = low + size - here
-        for k in partners.get(j, ()):
-            if best[k] + SHORT_PENALTY < value:
-                value, i = best[k] + SHORT_PENALTY, k
+        least = here - size
+        while where[who[front]] < least:
+            front += 1
+        i = who[front]
+        value = low[front] + size - here
+        if j in partners:
+            for k in partners[j]:
+                if best[k] + SHORT_PENALTY < value:
+                    value, i = best[k] + SHORT_PENALTY, k
         value += cost[j]
         best[j], came[j] = value, i
         value += here
-        while queue and queue[-1][0] >= value:
-            queue.pop()
-        queue.append((value, j))
+        last = len(low)
+        while last > front and low[last - 1] >= value:
+            last -= 1
+        del low[last:], who[last:]
+        low.append(value)
+        who.append(j)
     cuts, j = [where[-1]], n - 1
     while j > 0:
         j = came[j]
