@@ -11,12 +11,20 @@ from pyspark.sql import functions as F
 from matchlake.sources.store import staged, staging_folder  # noqa: F401  re-exported
 
 
+# Joins that move texts carry a "merge" hint: they shuffle at every size, so small inputs show
+# what large ones will do.
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that are Python objects at the same time; Arrow batches may be larger.
+ROWS_AT_ONCE = 1000
+
+
 def by_batch(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str) -> DataFrame:
-    """Apply a function of column lists to each Arrow batch of ``df``.
+    """Apply a function of column lists to parts of each Arrow batch of ``df``.
 
     ``make`` runs once per task and returns that function, so that models and caches are
     loaded once; it gets {column: list} and returns {column: list} in the order of ``schema``.
@@ -29,11 +37,13 @@ def by_batch(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for batch in batches:
-            out = fn({n: batch.column(i).to_pylist() for i, n in enumerate(names)})
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow
-            )
+        for whole in batches:
+            for low in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(low, ROWS_AT_ONCE)
+                out = fn({n: batch.column(i).to_pylist() for i, n in enumerate(names)})
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow
+                )
 
     return df.mapInArrow(run, spark_type)
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from matchlake.llm.common import by_batch, staged
 
 WORDS, SIMILARITY = 5, 0.8
-TREES, DEPTH = 16, 8
+TREES, DEPTH = 16, 5
 #: Prefix lengths that are tried, from selective to complete.
 DEPTHS = (5, 4, 3)
 TARGET_RECALL = 0.999
@@ -233,7 +233,7 @@ def verified(documents: DataFrame, representatives: DataFrame, met: DataFrame, d
         )
     )
     texts = documents.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_own"), "text")
-    rows = tasks.join(texts, F.col("_of").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_own"))).select(
+    rows = tasks.hint("merge").join(texts, F.col("_of").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_own"))).select(
         "_task", "_rep", "root", "_block", "text"
     )
 
@@ -296,4 +296,4 @@ def keep_one(documents: DataFrame) -> DataFrame:
     ).select(F.col("_kept.doc_id").alias("_kept_id"), F.col("_kept.digest").alias("_kept_text"))
     same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.xxhash64("text") == F.col("_kept_text"))
     columns = [documents[c] for c in documents.columns]
-    return documents.join(kept, same, "left_semi").select(*columns).dropDuplicates(["doc_id"])
+    return documents.join(kept.hint("merge"), same, "left_semi").select(*columns).dropDuplicates(["doc_id"])
