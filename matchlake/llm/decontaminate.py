@@ -118,4 +118,4 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, size: int =
         F.col("doc_id").alias("_bad_id"), F.col("digest").alias("_bad")
     )
     same = F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad"))
-    return documents.join(bad, same, "left_anti")
+    return documents.join(bad.hint("merge"), same, "left_anti")

@@ -154,4 +154,4 @@ def keep_good(documents: DataFrame, labels: DataFrame, keep_from: float = KEEP_F
         F.col("doc_id").alias("_bad_id"), F.col("digest").alias("_bad")
     ).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad"))
-    return documents.join(bad, same, "left_anti")
+    return documents.join(bad.hint("merge"), same, "left_anti")
