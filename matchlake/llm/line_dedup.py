@@ -1,7 +1,8 @@
 """Line deduplication with a log-template tree.
 
 DataFrame functions only. A line goes down a tree of fixed depth: its number of tokens, then its
-leading tokens. Tokens with a digit are variable fields and read ``<*>`` from the start. In a leaf
+leading tokens. Tokens with a digit are variable fields and read ``<*>`` from the start, unless most
+of the line has digits: rows of numbers are content. In a leaf
 a line is generalised further: besides its own template it has four in which one quarter of the
 tokens after the leading ones is a single ``<*>``, so lines that differ inside one quarter meet in
 a common template. A template that occurs in at least ``min_docs`` documents is recurring, and
@@ -21,30 +22,34 @@ LEADING = 2
 MIN_TOKENS = 8
 QUARTERS = 4
 
-_SPACE = r"[\x09-\x0D ]+"
+_SPACE, _TOKEN = r"[\x09-\x0D ]+", r"[^\x09-\x0D ]"
 
 
 def tokens(line: Column) -> Column:
-    """Tokens between ASCII white space; tokens with a digit become ``<*>``."""
+    """Tokens between ASCII white space; those with a digit become ``<*>`` if they are half at most."""
     plain = F.array_remove(F.split(line, _SPACE), "")
     masked = F.transform(plain, lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))
-    return F.when(line.rlike("[0-9]"), masked).otherwise(plain)
+    constant = F.size(F.filter(plain, lambda t: ~t.rlike("[0-9]")))
+    return F.when(line.rlike("[0-9]") & (2 * constant >= F.size(plain)), masked).otherwise(plain)
 
 
-def template_keys(t: Column, leading: int, min_tokens: int) -> Column:
-    """Keys of the templates of a token array: its own first, then those with one open quarter."""
+def part_hashes(t: Column, leading: int) -> Column:
+    """Hashes of the leading tokens and of the quarters of the rest; each token is hashed once."""
     n = F.size(t)
-    rest = n - leading
+    edge = [F.lit(leading) + F.floor((n - leading) * q / QUARTERS).cast("int") for q in range(QUARTERS + 1)]
+    quarters = [F.xxhash64(F.slice(t, a + 1, b - a)) for a, b in zip(edge, edge[1:])]
+    long_enough = F.array(F.xxhash64(F.slice(t, 1, leading)), *quarters)
+    return F.when(n >= leading, long_enough).otherwise(F.array(F.xxhash64(t)))
+
+
+def template_keys(n: Column, parts: Column, min_tokens: int) -> Column:
+    """Keys of the templates of a line of n tokens: its own first, then those with one open quarter."""
+    own = F.xxhash64(n, F.lit(-1), parts)
 
     def without(q: int) -> Column:
-        low = F.lit(leading) + F.floor(rest * q / QUARTERS).cast("int")
-        high = F.lit(leading) + F.floor(rest * (q + 1) / QUARTERS).cast("int")
-        kept = F.concat(F.slice(t, 1, low), F.array(F.lit("<*>")), F.slice(t, high + 1, n - high))
-        return F.xxhash64(n, F.lit(q), F.array_join(kept, " "))
+        return F.xxhash64(n, F.lit(q), *[parts[k] for k in range(QUARTERS + 1) if k != q + 1])
 
-    own = F.xxhash64(n, F.lit(-1), F.array_join(t, " "))
-    open_ones = F.when(n >= min_tokens, F.array(*[without(q) for q in range(QUARTERS)]))
-    return F.concat(F.array(own), F.coalesce(open_ones, F.array().cast("array<bigint>")))
+    return F.when(n >= min_tokens, F.array(own, *[without(q) for q in range(QUARTERS)])).otherwise(F.array(own))
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -60,10 +65,11 @@ def dropped_lines(
     """(_id, _digest, _drop): sorted positions from 0 of the lines to drop, of documents that have any."""
     keyed = (
         _lines(documents)
-        .select("_id", "_digest", F.posexplode("_lines").alias("_at", "_line"))
+        .select("_id", "_digest", F.posexplode_outer("_lines").alias("_at", "_line"))
+        .filter(F.col("_line").rlike(_TOKEN))  # before the tokens: a filter on them would make them twice
         .select("_id", "_digest", "_at", tokens(F.col("_line")).alias("_t"))
-        .filter(F.size("_t") > 0)
-        .select("_id", "_digest", "_at", F.explode(template_keys(F.col("_t"), leading, min_tokens)).alias("_key"))
+        .select("_id", "_digest", "_at", F.size("_t").alias("_n"), part_hashes(F.col("_t"), leading).alias("_parts"))
+        .select("_id", "_digest", "_at", F.explode(template_keys(F.col("_n"), F.col("_parts"), min_tokens)).alias("_key"))
     )
     recurring = (
         keyed.groupBy("_key", "_id").agg(F.lit(1).alias("_one"))
@@ -95,7 +101,7 @@ def dedup_lines(
     lines = F.split("text", "\n", -1)
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
     kept = F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
-    return documents.join(drop, same, "left").select(
+    return documents.join(drop.hint("merge"), same, "left").select(
         *[F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text"
           else documents[c] for c in documents.columns],
         F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"),

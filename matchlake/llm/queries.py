@@ -118,7 +118,8 @@ l AS (SELECT rid, doc_id, i, ls[i] AS line,
              list_filter(string_split_regex(ls[i], '[\x09-\x0D ]+'), lambda x: x <> '') AS tk
       FROM (SELECT rid, doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
 m AS (SELECT rid, doc_id, i, len(tk) AS n,
-             list_transform(tk, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t
+             CASE WHEN 2 * len(list_filter(tk, lambda x: NOT regexp_matches(x, '[0-9]'))) >= len(tk)
+                  THEN list_transform(tk, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) ELSE tk END AS t
       FROM l WHERE len(tk) > 0),
 k AS (SELECT rid, doc_id, i, concat(n, ' own ', array_to_string(t, ' ')) AS tpl FROM m
       UNION ALL
