@@ -31,7 +31,7 @@ from matchlake.llm.common import by_batch, staged
 LENGTH, K = 50, 24
 SPAN = LENGTH - K + 1
 #: Text bytes whose pieces share a bucket, pieces of one index, text bytes hashed at once.
-BUCKET_BYTES, INDEX_PIECES, CHUNK_BYTES = 8 << 20, 20_000, 2 << 20
+BUCKET_BYTES, INDEX_PIECES, CHUNK_BYTES = 8 << 20, 10_000, 2 << 20
 
 _END = 0xFF  # in no UTF-8 text
 _RANDOM = np.random.default_rng(7)
@@ -335,7 +335,7 @@ def dedup(documents: DataFrame) -> DataFrame:
         F.collect_set(F.struct("piece", "gram")).alias("wanted")
     )
     # one row per distinct piece: its first document sends the bytes
-    sends = source.join(wanted, F.col("_id") == F.col("doc")).select("_id", "text", "wanted")
+    sends = source.join(wanted.hint("merge"), F.col("_id") == F.col("doc")).select("_id", "text", "wanted")
     distinct = by_batch(sends, lambda: _pieces_of, "piece long, gram long, low long, bytes binary")
     number = max(1, (several.filter("doc = first").count()) // INDEX_PIECES)
     lows = (
@@ -351,6 +351,6 @@ def dedup(documents: DataFrame) -> DataFrame:
         .union(shared.filter("alone").select("doc", "piece", F.lit(_ALL).alias("bits")))
         .groupBy(F.col("doc").alias("_of")).agg(F.collect_list(F.struct("piece", "bits")).alias("marks"))
     )
-    joined = source.join(marks, F.col("_id") == F.col("_of"), "left").select("_id", "text", "marks")
+    joined = source.join(marks.hint("merge"), F.col("_id") == F.col("_of"), "left").select("_id", "text", "marks")
     out = by_batch(joined, lambda: _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != none, F.col("doc_id")))
