@@ -14,16 +14,17 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchlake.llm.common import by_batch, held_out, staged
 
-BITS = 20
+BITS = 19
 #: Labelled rows that are learned from at most: those with the smallest hash of their id.
-TRAIN_ROWS = 20_000
-SHARDS, EPOCHS = 2, 12
-ALPHA, BETA, L1, L2 = 4.0, 1.0, 3.0, 0.0
+TRAIN_ROWS = 10_000
+SHARDS, EPOCHS = 2, 8
+ALPHA, BETA, L1, L2 = 8.0, 1.0, 4.0, 0.0
 THRESHOLD = 0.7
 CACHE_WORDS = 400_000
 
@@ -109,7 +110,11 @@ def train(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
 
     data = staged(by_batch(rows.select(F.col("doc_id").cast("long"), "text", "_label"), features,
                            "shard int, doc_id long, label int, features binary"))
-    shards = data.repartition(SHARDS, "shard").sortWithinPartitions("shard", F.xxhash64("doc_id"), "features")
+    # every epoch reads the shards: dealt out once and kept
+    shards = (
+        data.repartition(SHARDS, "shard").sortWithinPartitions("shard", F.xxhash64("doc_id"), "features")
+        .select("shard", "label", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    )
     context = documents.sparkSession.sparkContext
     state = Ftrl(bits)
     for _ in range(EPOCHS):
@@ -128,8 +133,9 @@ def train(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
                 yield pd.DataFrame({"at": [at.astype("<u4").tobytes()], "z": [m.z[at].astype("<f4").tobytes()],
                                     "n": [m.n[at].astype("<f4").tobytes()]})
 
-        found = shards.select("shard", "label", "features").mapInPandas(one_pass, "at binary, z binary, n binary").collect()
+        found = shards.mapInPandas(one_pass, "at binary, z binary, n binary").collect()
         if not found:
+            shards.unpersist()
             return {"at": np.empty(0, np.int64), "w": np.empty(0), "bias": 0.0, "bits": bits}
         z, n = np.zeros_like(state.z), np.zeros_like(state.n)
         for r in found:  # SHARDS states of bounded size
@@ -138,6 +144,7 @@ def train(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
             n[at] += np.frombuffer(r["n"], "<f4")
         state = Ftrl(bits, z / len(found), n / len(found))
         common.unpersist()
+    shards.unpersist()
     w = state.weights(np.arange(len(state.z)))
     at = np.flatnonzero(w[:-1])
     return {"at": at, "w": w[at], "bias": float(w[-1]), "bits": bits}
