@@ -269,7 +269,9 @@ def _pieces_of(rows: dict) -> dict:
     for d, wanted in enumerate(rows["wanted"]):
         mine = {int(x): k for k, x in zip(range(edge[d], edge[d + 1]), names[edge[d] : edge[d + 1]])}
         for w in wanted:
-            k = mine[w["piece"]]
+            k = mine.get(w["piece"])
+            if k is None:  # in another row of this id, which sends it
+                continue
             out["piece"].append(w["piece"])
             out["gram"].append(w["gram"])
             out["low"].append(rows["_id"][d])

@@ -75,3 +75,13 @@ def test_odd_rows(spark):
     assert S.dedup(odd_rows(spark).limit(0)).count() == 0
     twice = [(1, "q" * 20 + "unique text that is long enough to be a repeated string"), (None, "unique text that is long enough to be a repeated string")]
     assert {r.doc_id: r.n_removed for r in S.dedup(documents(spark, twice)).collect()} == {1: len(twice[1][1]), None: 0}
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    r = random.Random(5)
+    passage, *ends = ["".join(r.choice("abcdefgh ") for _ in range(n)) for n in (90, 80, 80, 80, 80, 80)]
+    for i in (None, 1):
+        rows = [(i, ends[0] + passage + ends[1]), (i, ends[4] + ends[2]), (7, ends[2] + passage + ends[3]), (8, ends[1] + passage + ends[4])]
+        want = brute([(-1 if d is None else d, t) for d, t in rows])
+        got = S.dedup(documents(spark, rows)).collect()
+        assert sorted((-1 if x.doc_id is None else x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == want
