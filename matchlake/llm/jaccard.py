@@ -250,16 +250,8 @@ def verified(documents: DataFrame, representatives: DataFrame, met: DataFrame, d
     return rows.groupBy("_task").applyInPandas(run, "rep long, links long, expected double, root long")
 
 
-def join(documents: DataFrame, target_recall: float = TARGET_RECALL) -> DataFrame:
-    """One row per document: doc_id, class_id, n_copies, n_links, group_id, digest.
-
-    ``class_id`` is the smallest id among documents with the same set of shingles, ``n_copies`` their
-    number, ``n_links`` the number of other classes at similarity 0.8 or more, ``group_id`` the smallest
-    id among all documents connected by links or copies. Words are runs of word characters in lower
-    case. Texts without words (null ones too) are copies of each other and link to nothing. Repeated
-    rows are copies. Rows without an id join a class but are never its id. Ties need no rule: ids are
-    minima. An empty table gives no rows.
-    """
+def grouped(documents: DataFrame, target_recall: float = TARGET_RECALL) -> DataFrame:
+    """``join`` with one more column, _group: the key of a group, also of one without any id."""
     rows = staged(with_signatures(documents))
     classes = staged(
         rows.groupBy("_set").agg(
@@ -281,19 +273,40 @@ def join(documents: DataFrame, target_recall: float = TARGET_RECALL) -> DataFram
     ).withColumn("_root", F.coalesce("_root", "_rep"))
     smallest = placed.groupBy("_root").agg(F.min("class_id").alias("group_id"))
     known = placed.join(links, "_rep", "left").join(smallest, "_root").select(
-        "_set", "class_id", "n_copies", "n_links", "group_id"
+        "_set", "class_id", "n_copies", "n_links", "group_id", "_root"
     )
     return rows.select("_id", "_text", "_set").join(known, "_set").select(
         F.col("_id").alias("doc_id"), "class_id", "n_copies",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "group_id", F.col("_text").alias("digest"),
+        F.col("_root").alias("_group"),
     )
 
 
+def join(documents: DataFrame, target_recall: float = TARGET_RECALL) -> DataFrame:
+    """One row per document: doc_id, class_id, n_copies, n_links, group_id, digest.
+
+    ``class_id`` is the smallest id among documents with the same set of shingles, ``n_copies`` their
+    number, ``n_links`` the number of other classes at similarity 0.8 or more, ``group_id`` the smallest
+    id among all documents connected by links or copies. Words are runs of word characters in lower
+    case. Texts without words (null ones too) are copies of each other and link to nothing. Repeated
+    rows are copies. Rows without an id join a class but are never its id. Ties need no rule: ids are
+    minima. An empty table gives no rows.
+    """
+    return grouped(documents, target_recall).drop("_group")
+
+
 def keep_one(documents: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest id, with its columns."""
-    kept = join(documents).filter(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy("group_id").agg(
-        F.min(F.struct("doc_id", "digest")).alias("_kept")
-    ).select(F.col("_kept.doc_id").alias("_kept_id"), F.col("_kept.digest").alias("_kept_text"))
+    """One document of each group, the one with the smallest id, with its columns.
+
+    Groups are told apart by their texts, so documents without an id or with one id stay if they are unrelated.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("_kept")
+    kept = grouped(documents).groupBy("_group").agg(first).select(
+        F.col("_kept.doc_id").alias("_kept_id"), F.col("_kept.digest").alias("_kept_text")
+    )
     same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.xxhash64("text") == F.col("_kept_text"))
     columns = [documents[c] for c in documents.columns]
-    return documents.join(kept.hint("merge"), same, "left_semi").select(*columns).dropDuplicates(["doc_id"])
+    return (
+        documents.join(kept.hint("merge"), same, "left_semi").select(*columns, F.xxhash64("text").alias("_kept_text"))
+        .dropDuplicates(["doc_id", "_kept_text"]).drop("_kept_text")
+    )

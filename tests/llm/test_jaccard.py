@@ -76,3 +76,10 @@ def test_odd_rows(spark):
     kept = J.keep_one(odd_rows(spark))
     assert kept.columns == odd_rows(spark).columns
     assert sum(1 for r in kept.collect() if not (r.text or "").strip()) == 1
+
+
+def test_unrelated_documents_without_an_id_or_with_one_id_stay(spark):
+    a, b, c, d = (" ".join(words(seed, 60)) for seed in range(4))
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (5, d), (6, near(1, d.split(), 1)), (None, c)]
+    got = [(r.doc_id, r.text) for r in J.keep_one(documents(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(None, a), (None, b), (5, c), (5, d)], key=str)
