@@ -227,21 +227,22 @@ def verified(documents: DataFrame, representatives: DataFrame, met: DataFrame, d
         members.join(sizes, "root").withColumn("_blocks", n).withColumn("_block", block)
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         .select(
-            "_rep", F.col("_id").alias("_of"), "_text", "root", "_block",
+            "_rep", F.col("_id").alias("_of"), "_text", "root", "_block", (F.col("_block") == other).alias("_within"),
             F.when(F.col("_blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(buckets)))
             .otherwise(F.xxhash64("root", F.least("_block", other), F.greatest("_block", other))).alias("_task"),
         )
     )
     texts = documents.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_own"), "text")
     rows = tasks.hint("merge").join(texts, F.col("_of").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_own"))).select(
-        "_task", "_rep", "root", "_block", "text"
+        "_task", "_rep", "root", "_block", "_within", "text"
     )
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         s = Shingler()
         out = []
         for _, g in part.drop_duplicates(["root", "_rep"]).groupby("root", sort=False):
-            if len(g) > 1:
+            # a task of two blocks of which one is empty has nothing to count: pairs inside a block have their own task
+            if len(g) > 1 and (g["_within"].iloc[0] or g["_block"].nunique() > 1):
                 ids = g["_rep"].to_numpy(np.int64)
                 links, expected, root = verify(ids, [s.shingles(t) for t in g["text"]], g["_block"].to_numpy(), depth)
                 out.append(pd.DataFrame({"rep": ids, "links": links, "expected": expected, "root": root}))

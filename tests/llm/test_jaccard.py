@@ -83,3 +83,10 @@ def test_unrelated_documents_without_an_id_or_with_one_id_stay(spark):
     rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (5, d), (6, near(1, d.split(), 1)), (None, c)]
     got = [(r.doc_id, r.text) for r in J.keep_one(documents(spark, rows)).collect()]
     assert sorted(got, key=str) == sorted([(None, a), (None, b), (5, c), (5, d)], key=str)
+
+
+def test_pairs_of_a_block_count_once_beside_empty_blocks(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK_SHINGLES", 100)
+    rows = [(10 * g + k, near(10 * g + k, words(g, 120), 1)) for g in range(8) for k in range(3)]
+    got = {x.doc_id: (x.class_id, x.n_copies, x.n_links, x.group_id) for x in J.join(documents(spark, rows)).collect()}
+    assert got == brute(rows)
