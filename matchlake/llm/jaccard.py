@@ -2,9 +2,9 @@
 
 Texts are sets of hashed five-word shingles. Equal sets form a class first, so copies cost one row.
 Class representatives stand in a forest of prefix tries over their MinHash signatures: a trie node of
-depth d is the set of representatives that share the first d values of a tree. The join starts at
-deep nodes, verifies all pairs that meet, estimates from the similarities of the links found how many
-the depth has missed, and shortens the matched prefixes until the target recall is reached.
+depth d is the set of representatives that share the first d values of a tree. The join verifies all
+pairs that meet at the largest depth that finds a pair of the lowest similarity with the target recall,
+so whether a pair is found does not depend on other documents.
 
 Pairs are never rows. Representatives that meet in a node are joined to a hub of the node, connected
 hubs form blocks, and a task verifies the pairs of two blocks with exact set sizes; it returns one row
@@ -85,6 +85,11 @@ def found_probability(similarity: np.ndarray | float, depth: int) -> np.ndarray:
     return 1.0 - (1.0 - np.asarray(similarity, float) ** depth) ** TREES
 
 
+def depth_for(target_recall: float) -> int:
+    """Largest prefix length that finds even a pair of the lowest similarity with this chance."""
+    return next((d for d in DEPTHS if found_probability(SIMILARITY, d) >= target_recall), DEPTHS[-1])
+
+
 def with_signatures(documents: DataFrame) -> DataFrame:
     """(_id, _text, _set, _n, _sig): id, hash of the text, hash of the shingle set, its size, signature."""
 
@@ -214,7 +219,7 @@ def verify(ids: np.ndarray, sets: list[np.ndarray], block: np.ndarray, depth: in
 
 
 def verified(documents: DataFrame, representatives: DataFrame, met: DataFrame, depth: int) -> DataFrame:
-    """(rep, links, expected, root) of every representative in every task that verified it."""
+    """(rep, links, root) of every representative in every task that verified it."""
     groups = components(met.select(F.col("_rep").alias("a"), F.col("_hub").alias("b")))
     members = staged(groups.join(representatives.select("_rep", "_id", "_text", "_n"), F.col("node") == F.col("_rep")).select("root", "_rep", "_id", "_text", "_n"))
     sizes = members.groupBy("root").agg(F.sum("_n").alias("_all"))
@@ -244,11 +249,11 @@ def verified(documents: DataFrame, representatives: DataFrame, met: DataFrame, d
             # a task of two blocks of which one is empty has nothing to count: pairs inside a block have their own task
             if len(g) > 1 and (g["_within"].iloc[0] or g["_block"].nunique() > 1):
                 ids = g["_rep"].to_numpy(np.int64)
-                links, expected, root = verify(ids, [s.shingles(t) for t in g["text"]], g["_block"].to_numpy(), depth)
-                out.append(pd.DataFrame({"rep": ids, "links": links, "expected": expected, "root": root}))
-        return pd.concat(out) if out else pd.DataFrame({"rep": [], "links": [], "expected": [], "root": []})
+                links, _, root = verify(ids, [s.shingles(t) for t in g["text"]], g["_block"].to_numpy(), depth)
+                out.append(pd.DataFrame({"rep": ids, "links": links, "root": root}))
+        return pd.concat(out) if out else pd.DataFrame({"rep": [], "links": [], "root": []})
 
-    return rows.groupBy("_task").applyInPandas(run, "rep long, links long, expected double, root long")
+    return rows.groupBy("_task").applyInPandas(run, "rep long, links long, root long")
 
 
 def grouped(documents: DataFrame, target_recall: float = TARGET_RECALL) -> DataFrame:
@@ -261,12 +266,8 @@ def grouped(documents: DataFrame, target_recall: float = TARGET_RECALL) -> DataF
         .select("_set", F.xxhash64("_set").alias("_rep"), F.col("_first._id").alias("_id"),
                 F.col("_first._text").alias("_text"), "n_copies", "_n", "_sig")
     )
-    checked = None
-    for depth in DEPTHS:
-        checked = staged(verified(documents, classes, staged(meetings(classes, depth)), depth))
-        found = checked.agg(F.sum("links").alias("links"), F.sum("expected").alias("expected")).first()
-        if (found["links"] or 0) >= target_recall * (found["expected"] or 0):
-            break
+    depth = depth_for(target_recall)
+    checked = staged(verified(documents, classes, staged(meetings(classes, depth)), depth))
     links = checked.groupBy(F.col("rep").alias("_rep")).agg(F.sum("links").alias("n_links"))
     groups = components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     placed = classes.select("_set", "_rep", F.col("_id").alias("class_id"), "n_copies").join(

@@ -90,3 +90,21 @@ def test_pairs_of_a_block_count_once_beside_empty_blocks(spark, monkeypatch):
     rows = [(10 * g + k, near(10 * g + k, words(g, 120), 1)) for g in range(8) for k in range(3)]
     got = {x.doc_id: (x.class_id, x.n_copies, x.n_links, x.group_id) for x in J.join(documents(spark, rows)).collect()}
     assert got == brute(rows)
+
+
+def test_a_hot_group_does_not_change_which_links_of_others_are_found(spark):
+    s = J.Shingler()
+
+    def meet(texts, depth):
+        a, b = (np.frombuffer(J.signature(s.shingles(t)), "<u4").reshape(J.TREES, J.DEPTH)[:, :depth] for t in texts)
+        return (a == b).all(axis=1).any()
+
+    def pair(seed):
+        w = words(seed, 58, 10**6)  # 48 of 60 shingles in common
+        return " ".join(w), " ".join([*w[:20], f"new{seed}", "next", *w[22:]])
+
+    lone = next(p for p in map(pair, range(10**5)) if not meet(p, J.DEPTHS[0]) and meet(p, J.DEPTHS[1]))
+    hot = words(-1, 400)
+    rows = [(i, near(i, hot, 1)) for i in range(30)] + [(100 + i, t) for i, t in enumerate(lone)]
+    got = {x.doc_id: (x.class_id, x.n_copies, x.n_links, x.group_id) for x in J.join(documents(spark, rows)).collect()}
+    assert got == brute(rows) and got[101] == (101, 1, 1, 100)
