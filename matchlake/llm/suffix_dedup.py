@@ -5,6 +5,9 @@ A byte goes if a string of LENGTH bytes over it also starts in a document with a
 1. *Routing.* Of the strings' K-byte grams the one with the smallest hash decides where a string is
    looked at, so equal strings always meet. Neighbouring strings with one such gram form a piece (at
    most 2 * LENGTH - K bytes). Documents send two hashes per piece, packed by bucket.
+   Buckets with many entries (hot pieces) are dealt in parts of bounded size: each part is reduced to the
+   smallest and largest document of its distinct pieces, Spark aggregates those, and the pieces that are
+   shared go back to the parts.
 2. *Single pieces.* A gram with one distinct piece needs no text: all documents but the first lose it.
 3. *Index.* Grams with several pieces (the ends of copies) send each distinct piece once. A task builds
    the Burrows-Wheeler transform of its pieces, keeps its runs with the last-to-first map of each run
@@ -12,7 +15,7 @@ A byte goes if a string of LENGTH bytes over it also starts in a document with a
    The pieces stream backwards through the runs, all in lockstep, and every long match is marked.
 4. *Removal.* Marks go back to their documents, which drop the bytes.
 
-Nothing depends on how often a piece occurs: repeats are reduced to a smallest id per task first.
+No Python group holds all documents of a piece; what grows with its copies is one mark per copy.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ LENGTH, K = 50, 24
 SPAN = LENGTH - K + 1
 #: Text bytes whose pieces share a bucket, pieces of one index, text bytes hashed at once.
 BUCKET_BYTES, INDEX_PIECES, CHUNK_BYTES = 8 << 20, 10_000, 2 << 20
+#: Entries (one per document and piece) of a bucket that are one Python group; about 0.6 million are usual.
+PART_ENTRIES = 1_500_000
 
 _END = 0xFF  # in no UTF-8 text
 _RANDOM = np.random.default_rng(7)
@@ -233,8 +238,18 @@ def _bucket_rows(documents: DataFrame, buckets: int) -> DataFrame:
     return documents.mapInArrow(run, "bucket int, ids binary, counts binary, packed binary")
 
 
-def _shared_pieces(part: pd.DataFrame) -> pd.DataFrame:
-    """Pieces of grams that several documents have: document, piece, gram, first document, and if it stands alone."""
+def _with_parts(rows: DataFrame) -> DataFrame:
+    """``rows`` with _parts, the number of parts of the row's bucket, and _part, the row's own."""
+    amount = rows.groupBy("bucket").agg(F.sum(F.octet_length("packed")).alias("_bytes")).select(
+        F.col("bucket").alias("_bucket"), F.ceil(F.col("_bytes") / (11 * PART_ENTRIES)).cast("int").alias("_parts")
+    )
+    return rows.join(amount, F.col("bucket") == F.col("_bucket")).drop("_bucket").withColumn(
+        "_part", F.pmod(F.xxhash64("ids", "packed"), F.col("_parts")).cast("int")
+    )
+
+
+def _entries(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, gram, key) of the entries of bucket rows, sorted by gram, key and document."""
     doc = np.concatenate([np.repeat(np.frombuffer(i, "<i8"), np.frombuffer(c, "<u4")) for i, c in zip(part["ids"], part["counts"])])
     packed = np.frombuffer(b"".join(part["packed"]), np.uint8).reshape(-1, 11)
 
@@ -245,7 +260,16 @@ def _shared_pieces(part: pd.DataFrame) -> pd.DataFrame:
 
     gram, key = number(0, 5), number(5, 11)
     o = np.lexsort((doc, key, gram))
-    doc, gram, key = doc[o], gram[o], key[o]
+    return doc[o], gram[o], key[o]
+
+
+def _name(gram: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return (((gram & 0xFFFF) << 48) | key).astype(np.int64)
+
+
+def _shared_pieces(part: pd.DataFrame) -> pd.DataFrame:
+    """Pieces of grams that several documents have: document, piece, gram, first document, and if it stands alone."""
+    doc, gram, key = _entries(part)
     new_gram = np.append(True, gram[1:] != gram[:-1])
     new_piece = new_gram | np.append(True, key[1:] != key[:-1])
     g, p = np.cumsum(new_gram) - 1, np.cumsum(new_piece) - 1
@@ -255,8 +279,51 @@ def _shared_pieces(part: pd.DataFrame) -> pd.DataFrame:
     first = doc[new_piece][p]
     use = (low != high)[g] & (several[g] | (doc > first))
     g_used = g[use]
-    name = (((gram[use] & 0xFFFF) << 48) | key[use]).astype(np.int64)
-    return pd.DataFrame({"doc": doc[use], "piece": name, "gram": gram[use], "first": first[use], "alone": ~several[g_used]})
+    return pd.DataFrame({"doc": doc[use], "piece": _name(gram[use], key[use]), "gram": gram[use], "first": first[use], "alone": ~several[g_used]})
+
+
+def _distinct_pieces(part: pd.DataFrame) -> pd.DataFrame:
+    """Distinct pieces of a part of a bucket with their smallest and largest document."""
+    doc, gram, key = _entries(part)
+    at = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (key[1:] != key[:-1])))
+    return pd.DataFrame({"bucket": part["bucket"].iloc[0], "_part": part["_part"].iloc[0], "gram": gram[at], "key": key[at],
+                         "low": doc[at], "high": doc[np.append(at[1:], len(doc)) - 1]})
+
+
+def _shared_of_part(part: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
+    """What _shared_pieces gives, for one part of a bucket and the shared ones of its distinct pieces."""
+    if not len(part) or not len(shared):
+        return pd.DataFrame({"doc": [], "piece": [], "gram": [], "first": [], "alone": []})
+    doc, gram, key = _entries(part)
+    new = np.append(True, (gram[1:] != gram[:-1]) | (key[1:] != key[:-1]))
+    p = np.cumsum(new) - 1
+    g_own, k_own = gram[new], key[new]
+    known = shared.sort_values(["gram", "key"])
+    full = pd.MultiIndex.from_arrays([known["gram"], known["key"]])
+    at = full.get_indexer(pd.MultiIndex.from_arrays([g_own, k_own]))[p]
+    first, alone = known["first"].to_numpy(np.int64)[at], known["alone"].to_numpy(bool)[at]
+    use = (at >= 0) & (~alone | (doc > first))
+    return pd.DataFrame({"doc": doc[use], "piece": _name(gram[use], key[use]), "gram": gram[use], "first": first[use], "alone": alone[use]})
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Pieces of grams that several documents have, of all buckets."""
+    schema = "doc long, piece long, gram long, first long, alone boolean"
+    dealt = _with_parts(rows)
+    whole = dealt.filter("_parts = 1").groupBy("bucket").applyInPandas(_shared_pieces, schema)
+    split = dealt.filter("_parts > 1")
+    own = staged(split.groupBy("bucket", "_part").applyInPandas(
+        _distinct_pieces, "bucket int, _part int, gram long, key long, low long, high long"))
+    of_piece = own.groupBy("gram", "key").agg(F.min("low").alias("first"), F.max("high").alias("_last"))
+    of_gram = of_piece.groupBy(F.col("gram").alias("_gram")).agg(
+        (F.count(F.lit(1)) == 1).alias("alone"), F.min("first").alias("_low"), F.max("_last").alias("_high")
+    ).filter("_low <> _high")
+    pieces_used = of_piece.join(of_gram, F.col("gram") == F.col("_gram")).select(
+        F.col("gram").alias("_g"), F.col("key").alias("_k"), "first", "alone")
+    back = own.join(pieces_used, (F.col("gram") == F.col("_g")) & (F.col("key") == F.col("_k"))).select(
+        "bucket", "_part", "gram", "key", "first", "alone")
+    parts = split.groupBy("bucket", "_part").cogroup(back.groupBy("bucket", "_part")).applyInPandas(_shared_of_part, schema)
+    return whole.union(parts)
 
 
 def _pieces_of(rows: dict) -> dict:
@@ -330,8 +397,8 @@ def dedup(documents: DataFrame) -> DataFrame:
     none = -(1 << 63)
     source = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("_id"), "text")
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = _bucket_rows(source, max(1, -(-total // BUCKET_BYTES)))
-    shared = staged(rows.groupBy("bucket").applyInPandas(_shared_pieces, "doc long, piece long, gram long, first long, alone boolean"))
+    rows = staged(_bucket_rows(source, max(1, -(-total // BUCKET_BYTES))))
+    shared = staged(_shared(rows))
     several = shared.filter(~F.col("alone"))
     wanted = several.filter("doc = first").groupBy("doc").agg(
         F.collect_set(F.struct("piece", "gram")).alias("wanted")

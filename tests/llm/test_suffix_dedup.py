@@ -85,3 +85,19 @@ def test_rows_of_one_id_with_different_texts(spark):
         want = brute([(-1 if d is None else d, t) for d, t in rows])
         got = S.dedup(documents(spark, rows)).collect()
         assert sorted((-1 if x.doc_id is None else x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == want
+
+
+def test_hot_pieces_are_dealt_in_parts(spark, monkeypatch):
+    r = random.Random(6)
+    hot = "".join(r.choice("abcdefgh ") for _ in range(120))
+    rows = [(i, "".join(r.choice("ijklmnop ") for _ in range(70)) + (hot if i % 3 else "")) for i in range(300)] + corpus(4, 40)
+    docs = documents(spark, rows).repartition(40)
+    held = []
+    shared = S._shared
+    monkeypatch.setattr(S, "_shared", lambda x: held.append(x) or shared(x))
+    monkeypatch.setattr(S, "PART_ENTRIES", 400)
+    got = sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in S.dedup(docs).collect())
+    assert got == brute(rows)
+    dealt = S._with_parts(held[0])
+    assert dealt.groupBy("bucket").agg(S.F.expr("sum(octet_length(packed)) / 11").alias("n")).agg({"n": "max"}).first()[0] > 2000
+    assert dealt.groupBy("bucket", "_part").agg(S.F.expr("sum(octet_length(packed)) / 11").alias("n")).agg({"n": "max"}).first()[0] < 1000
