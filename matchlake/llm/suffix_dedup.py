@@ -397,7 +397,9 @@ def dedup(documents: DataFrame) -> DataFrame:
     none = -(1 << 63)
     source = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("_id"), "text")
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = staged(_bucket_rows(source, max(1, -(-total // BUCKET_BYTES))))
+    # hashes neither repeat nor compress: small row groups, so that writers hold few of them
+    small = {"parquet.block.size": 8 << 20, "parquet.enable.dictionary": False}
+    rows = staged(_bucket_rows(source, max(1, -(-total // BUCKET_BYTES))), **small)
     shared = staged(_shared(rows))
     several = shared.filter(~F.col("alone"))
     wanted = several.filter("doc = first").groupBy("doc").agg(

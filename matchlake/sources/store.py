@@ -45,15 +45,16 @@ def staging_folder(spark: SparkSession) -> str:
     return own
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, **options) -> DataFrame:
     """Write a frame that several later steps read, and go on from the written table.
 
     This cuts the lineage: the input is scanned once, a lost executor costs only the
-    reading of the table, and later steps read just the columns they need.
+    reading of the table, and later steps read just the columns they need. ``options``
+    are those of the writer.
     """
     spark = df.sparkSession
     path = f"{staging_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
