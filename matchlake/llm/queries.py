@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlake.llm import (
+    conversation_trie,
     decontaminate,
+    divergence,
     jaccard,
     line_dedup,
     packing,
     quality_classifier,
     quality_rules,
+    sentence_pieces,
     suffix_dedup,
     token_counts,
     toxicity,
@@ -149,3 +152,78 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_packing")
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
+@query("op11_source_divergence", r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT rid, lang, source, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT rid) >= 10),
+l AS (SELECT lang, sum(n)::HUGEINT AS total, count(*)::HUGEINT AS v FROM k GROUP BY lang),
+c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN k ON t.lang = k.lang AND t.term = k.term GROUP BY ALL),
+s AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+             1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(s.total, 0) + 2 * l.v) AS p
+      FROM g JOIN k ON g.lang = k.lang JOIN l ON g.lang = l.lang
+      LEFT JOIN c ON g.lang = c.lang AND g.source = c.source AND k.term = c.term
+      LEFT JOIN s ON g.lang = s.lang AND g.source = s.source),
+q AS (SELECT k.lang, k.term, 1 + (1000000000::HUGEINT * (k.n + 2)) // (l.total + 2 * l.v) AS q FROM k JOIN l ON k.lang = l.lang),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN f ON a.lang = f.lang AND a.source = f.source AND b.source = f.item
+      UNION ALL
+      SELECT p.lang, source, 'term', p.term, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT)
+      FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+WHERE part = 'pair' OR rank <= 10
+""")
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op12_sentence_pieces")
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = sentence_pieces.encode(table(spark, sf_dir, "documents"), path)
+    decoded = sentence_pieces.decode(encoded, path)
+    return decoded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+@query("op13_conversation_trie", r"""
+WITH o AS (SELECT conv_id, row_number() OVER w AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
+           FROM conversations WHERE conv_id IS NOT NULL
+           WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''))),
+bits AS (SELECT conv_id, list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+           lambda x: list_concat([ascii(x)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))) AS steps
+         FROM (SELECT DISTINCT conv_id FROM o)),
+h AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(4294967295::BIGINT, list_reduce(steps, lambda a, x:
+        CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384::BIGINT * (a & 1)) END)) % 6 AS h FROM bits),
+turns AS (SELECT h.conv_id, 0 AS part, b.i, b.role, b.text FROM h JOIN o b ON b.conv_id = h.base AND b.i <= h.h
+          UNION ALL
+          SELECT h.conv_id, 1, b.i, b.role, b.text FROM h JOIN o b ON b.conv_id = h.conv_id AND b.i > h.h),
+keys AS (SELECT h.conv_id, coalesce(list(concat(strlen(role), ':', role, strlen(turns.text), ':', turns.text) ORDER BY part, i)
+           FILTER (i IS NOT NULL), []) AS ks,
+           coalesce(list(length(turns.text) ORDER BY part, i) FILTER (i IS NOT NULL), []) AS ls
+         FROM h LEFT JOIN turns ON h.conv_id = turns.conv_id GROUP BY h.conv_id),
+member AS (SELECT conv_id, d, ks[1:d] AS k, CASE WHEN d > 0 THEN ls[d] ELSE 0 END AS chars, len(ks) = d AS here
+           FROM (SELECT *, unnest(range(0, len(ks) + 1)) AS d FROM keys)),
+node AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n, min(chars) AS chars,
+           sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (here), '')) AS ends
+         FROM member GROUP BY k, d),
+children AS (SELECT k[1:d - 1] AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+full_node AS (SELECT node.*, coalesce(c.n, 0) AS n_children FROM node LEFT JOIN children c ON node.k = c.k),
+under AS (SELECT k[1:u] AS k, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n - 1) * chars) AS saved
+          FROM (SELECT *, unnest(range(0, d + 1)) AS u FROM full_node) GROUP BY ALL)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, f.n AS n_convs, f.n_children,
+       CAST(u.n_leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, f.ends AS ends_sha256
+FROM full_node f JOIN under u ON f.k = u.k LEFT JOIN node p ON f.d > 0 AND p.k = f.k[1:f.d - 1]
+""")
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
