@@ -10,10 +10,10 @@ from tools.check_queries import compare, database
 
 def test_one_query_per_operator():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
-@pytest.mark.parametrize("name", ["op1_decontaminate", "op5_warc", "op8_line_dedup"])
+@pytest.mark.parametrize("name", ["op1_decontaminate", "op5_warc", "op8_line_dedup", "op11_source_divergence", "op13_conversation_trie"])
 def test_against_sql(spark, name):
     ok, note = compare(spark, database(SF), SF, name)
     assert ok, note
