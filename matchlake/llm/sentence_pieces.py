@@ -2,8 +2,8 @@
 
 A text is normalised by the longest prefixes in the model's compiled character map (a double-array
 trie over UTF-8 bytes); every normalised byte remembers the source byte it came from. The merges run
-over units, runs of white space marks with what follows, which no piece of the vocabulary crosses, so
-a unit's pieces are worked out once and kept. The borders of the pieces, counted in normalised bytes,
+over units that no piece of the vocabulary reaches beyond (white space marks with the letters or the
+signs that follow), so a unit's pieces are worked out once and kept. The borders of the pieces, counted in normalised bytes,
 go back through the alignment and give each piece its span of source bytes. A byte piece that is
 not the last of its character has an empty span, as in the library.
 """
@@ -13,6 +13,8 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from itertools import repeat
+from operator import add
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 
 from matchlake.llm.common import by_batch
 
-#: Bytes that the units kept by a Python worker may take, by estimate; then they are made again.
+#: Bytes that the units kept by a Python worker may take, by estimate; beyond half of it those not
+#: met since the last time are forgotten and made again.
 CACHE_BYTES = 120_000_000
 #: Code points normalised at a time where the character map is empty; cut in front of a space.
 CHUNK_CHARS = 200_000
@@ -135,6 +138,7 @@ class PieceModel:
         self.ids = {t: i for i, t in enumerate(texts) if kinds[i] == _NORMAL}
         score = [struct.unpack("<f", p[2][0])[0] if 2 in p else 0.0 for p in pieces]
         self.cost = {t: -score[i] for t, i in self.ids.items()}
+        self.packed = {t: i | len(t.encode()) << 32 for t, i in self.ids.items()}
         self.byte_ids = [0] * 256
         for i, t in enumerate(texts):
             if kinds[i] == _BYTE:
@@ -142,9 +146,11 @@ class PieceModel:
         self.begin, self.end = texts.index("<s>"), texts.index("</s>")
         # a unit ends where a mark follows something else, unless a piece crosses that border
         crossing = any(re.search(f"[^{MARK}]{MARK}", t) for t in self.ids)
-        self.unit = re.compile("(?s).+") if crossing else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.unit = re.compile("(?s).+" if crossing else self._units())
         self.in_parts = self.map.first is None and not self.squeeze and not crossing
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        # pieces of a unit, as 64-bit integers: width in normalised bytes, then id
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.known_bytes = 0
         # decoding: bytes of every id; what stands for an unknown one is a setting of the model
         unknown = one(trainer, 44, " ⁇ ".encode())
@@ -156,6 +162,25 @@ class PieceModel:
         self.is_byte = [k == _BYTE for k in kinds]
         self.marked = [k == _NORMAL and t.startswith(MARK) for t, k in zip(texts, kinds)]
         self.shown = [k != _CONTROL for k in kinds]
+        self.hidden = {i for i, k in enumerate(kinds) if k == _CONTROL}
+
+    def _units(self) -> str:
+        """Pattern of units: marks with signs, or with other characters, or alone.
+
+        Signs are the ASCII characters beside letters that stand in no piece next to another character.
+        """
+        signs = {chr(c) for c in range(1, 128) if not chr(c).isalpha() and chr(c) != " "}
+        beside: dict[str, set[str]] = {}
+        for piece in self.ids:
+            for a, b in zip(piece, piece[1:]):
+                beside.setdefault(a, set()).add(b)
+                beside.setdefault(b, set()).add(a)
+        while mixed := {c for c in signs if beside.get(c, set()) - signs - {MARK}}:
+            signs -= mixed
+        if not signs:
+            return f"{MARK}*[^{MARK}]+|{MARK}+"
+        some = "".join(map(re.escape, sorted(signs)))
+        return f"{MARK}*[^{MARK}{some}]+|{MARK}*[{some}]+|{MARK}+"
 
     # ---- normalisation -----------------------------------------------------
 
@@ -219,20 +244,20 @@ class PieceModel:
     # ---- merges ------------------------------------------------------------
 
     def _merge_short(self, unit: str) -> list[str]:
-        parts, cost = list(unit), self.cost
-        look = cost.get
-        pairs = [look(a + b, _NEVER) for a, b in zip(parts, parts[1:])]
+        parts, look = list(unit), self.cost.get
+        pairs = list(map(look, map(add, parts, parts[1:]), repeat(_NEVER)))
         while pairs:
             best = min(pairs)
             if best == _NEVER:
                 break
             i = pairs.index(best)  # the leftmost of equal ones
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            both = parts[i] + parts.pop(i + 1)
+            parts[i] = both
             del pairs[i]
             if i:
-                pairs[i - 1] = look(parts[i - 1] + parts[i], _NEVER)
+                pairs[i - 1] = look(parts[i - 1] + both, _NEVER)
             if i < len(pairs):
-                pairs[i] = look(parts[i] + parts[i + 1], _NEVER)
+                pairs[i] = look(both + parts[i + 1], _NEVER)
         return parts
 
     def _merge_long(self, unit: str) -> list[str]:
@@ -262,25 +287,24 @@ class PieceModel:
             offer(left, after[left])
         return [p for p in parts if p]
 
-    def pieces(self, unit: str) -> tuple[bytes, bytes]:
-        """(ids, widths in normalised bytes) of a unit, as 32-bit integers."""
-        ids: list[int] = []
-        widths: list[int] = []
-        for part in self._merge_short(unit) if len(unit) <= SHORT_UNIT else self._merge_long(unit):
-            raw = part.encode()
-            found = self.ids.get(part)
-            if found is not None:
-                ids.append(found)
-                widths.append(len(raw))
-            else:  # the last byte holds the character
-                ids += [self.byte_ids[b] for b in raw]
-                widths += [0] * (len(raw) - 1) + [len(raw)]
-        made = struct.pack(f"<{len(ids)}I", *ids), struct.pack(f"<{len(ids)}I", *widths)
+    def pieces(self, unit: str) -> bytes:
+        """Widths in normalised bytes and ids of a unit's pieces."""
+        made = self.older.get(unit)
+        if made is None:
+            out: list[int] = []
+            for part in self._merge_short(unit) if len(unit) <= SHORT_UNIT else self._merge_long(unit):
+                there = self.packed.get(part)
+                if there is not None:
+                    out.append(there)
+                else:  # the last byte holds the character
+                    raw = part.encode()
+                    out += [self.byte_ids[b] for b in raw]
+                    out[-1] |= len(raw) << 32
+            made = struct.pack(f"<{len(out)}Q", *out)
         if len(unit) <= SHORT_UNIT:
-            if self.known_bytes > CACHE_BYTES:
-                self.known.clear()
-                self.known_bytes = 0
-            self.known_bytes += 320 + 4 * len(unit) + 8 * len(ids)
+            if self.known_bytes > CACHE_BYTES // 2:
+                self.older, self.known, self.known_bytes = self.known, {}, 0
+            self.known_bytes += 230 + 2 * len(unit) + len(made)
             self.known[unit] = made
         return made
 
@@ -289,12 +313,13 @@ class PieceModel:
         ids: list[bytes] = []
         starts: list[np.ndarray] = []
         ends: list[np.ndarray] = []
-        known, base = self.known.get, 0
+        base = 0
         for number, part in enumerate(self._parts(text)):
             plain, source = self.normalise(part, number == 0)
-            found = [known(u) or self.pieces(u) for u in self.unit.findall(plain)]
-            ids += [f[0] for f in found]
-            after = np.cumsum(np.frombuffer(b"".join([f[1] for f in found]), "<u4"), dtype=np.int64)
+            known = self.known.get
+            found = np.frombuffer(b"".join([known(u) or self.pieces(u) for u in self.unit.findall(plain)]), "<u8")
+            ids.append((found & 0xFFFFFFFF).astype("<u4").tobytes())
+            after = np.cumsum(found >> 32, dtype=np.int64)
             ends.append(source[after] + base)
             starts.append(source[np.append(np.zeros(1, np.int64), after[:-1])] + base if len(after) else after)
             base += int(source[-1])
@@ -329,7 +354,7 @@ class PieceModel:
             if self.squeeze:
                 self._without_marks(ids, parts)
         try:
-            if all(map(self.shown.__getitem__, ids)):  # an id that shows nothing parts bytes
+            if self.hidden.isdisjoint(ids):  # an id that shows nothing parts bytes
                 return b"".join(parts).decode()
         except UnicodeDecodeError:
             pass
