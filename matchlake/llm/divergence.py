@@ -224,6 +224,17 @@ def _price_unit(rows: pd.DataFrame) -> pd.DataFrame:
 # ---- the audit --------------------------------------------------------------
 
 
+#: Parts that the rows of one language are dealt to where they meet what is known of the language.
+SALTS = 64
+
+
+def _with_language(rows: DataFrame, by: str, known: DataFrame, how: str = "inner") -> DataFrame:
+    """Join by language; rows are dealt by language and hash of ``by``, so a hot language is spread."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    copies = known.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(copies, ["lang", "_salt"], how).drop("_salt")
+
+
 def _blocks(n: Column, size: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(n / F.lit(size))).cast("long")
 
@@ -248,7 +259,7 @@ def audit(documents: DataFrame) -> DataFrame:
     kept = staged(kept)
     sizes = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("n").alias("total"))
     # (lang, block): terms by falling total; a term's place is its index there
-    dealt = kept.join(sizes.select("lang", "kept"), "lang").withColumn(
+    dealt = _with_language(kept, "term", sizes.select("lang", "kept")).withColumn(
         "block", F.pmod(F.xxhash64("term"), _blocks(F.col("kept"), BLOCK_TERMS))
     )
     listed = staged(
@@ -267,7 +278,8 @@ def audit(documents: DataFrame) -> DataFrame:
     totals = vectors.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     sources = groups.groupBy("lang").agg(F.count("*").alias("sources"))
     groups = (
-        groups.join(sources, "lang").join(totals, ["lang", "source"], "left").join(sizes.select("lang", "kept"), "lang", "left")
+        _with_language(groups, "source", sources.join(sizes.select("lang", "kept"), "lang", "left"))
+        .join(totals, ["lang", "source"], "left")
         .select(
             "lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("kept", F.lit(0)).alias("kept"),
             _blocks(F.col("sources"), BLOCK_SOURCES).alias("of"),
@@ -279,7 +291,7 @@ def audit(documents: DataFrame) -> DataFrame:
     widths = widths.select("lang", F.coalesce("block", F.lit(-1)).alias("block"), F.coalesce("width", F.lit(0)).alias("width"))
     partner = F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("other")
     rows = (
-        groups.join(widths, "lang").join(vectors.drop("n"), ["lang", "source", "block"], "left")
+        _with_language(groups, "source", widths).join(vectors.drop("n"), ["lang", "source", "block"], "left")
         .select("*", partner)
         .select(
             "lang", "block", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"),
