@@ -12,6 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchlake.params import DEFAULTS, ModelParams
+
+# the exponents of a block of days stay below this, far inside the range of doubles
+BLOCK_EXPONENT = 300.0
+
 
 def day_number(day) -> Column:
     return F.unix_date(F.col(day) if isinstance(day, str) else day)
@@ -36,7 +41,8 @@ def asof_sums(
     carry = carry or []
     values = {f"_v{i}": value for i, (value, _) in enumerate(sums.values())}
     daily = (
-        events.select(*keys, day_number(day).alias("_d"), *[v.alias(n) for n, v in values.items()])
+        events.filter(F.col(day).isNotNull())  # undated events are not earlier than any day
+        .select(*keys, day_number(day).alias("_d"), *[v.alias(n) for n, v in values.items()])
         .groupBy(*keys, "_d")
         .agg(*[F.sum(n).alias(n) for n in values])
         .withColumn("_probe", F.lit(False))
@@ -64,6 +70,77 @@ def asof_sums(
     )
 
 
+def asof_decayed(
+    events: DataFrame,
+    probes: DataFrame,
+    keys: list[str],
+    day: str,
+    values: list[str],
+    p: ModelParams = DEFAULTS,
+    carry: list[str] | None = None,
+) -> DataFrame:
+    """Decayed sums of ``values`` over strictly earlier events, for every distinct probe.
+
+    A decayed sum is a difference of two running sums of ``value * exp(rate * day)`` while the
+    decay is above its floor, and the floor times a plain sum beyond. Days are counted from the
+    origin of their block, so a running sum is a mantissa beside the origin of its block and no
+    exponent grows with the calendar, whatever the half-life. What reaches over the end of
+    a block stands in the next one too, re-based to its origin.
+    """
+    carry = carry or []
+    beyond = p.decay_horizon + 1
+    length = max(beyond, int(BLOCK_EXPONENT / p.decay_rate))
+    d, block = F.col("_d"), F.col("_b")
+    origin = block * length
+
+    def number(name):
+        return F.floor(name / F.lit(length)).cast("int")
+
+    daily = (
+        events.filter(F.col(day).isNotNull()).select(*keys, day_number(day).alias("_d"), *values)
+        .groupBy(*keys, "_d").agg(*[F.sum(v).alias(v) for v in values])
+        .withColumn("_o", number(d))
+        .withColumn("_b", F.explode(
+            F.when(number(d + beyond) > F.col("_o"), F.array("_o", F.col("_o") + 1)).otherwise(F.array("_o"))
+        ))
+    )
+    grown = F.exp((d - origin) * F.lit(p.decay_rate))
+    daily = daily.select(
+        *keys, "_d", "_b", F.lit(False).alias("_probe"),
+        *[(F.col(v) * grown).alias(f"_x{i}") for i, v in enumerate(values)],
+        *[F.when(block == F.col("_o"), F.col(v)).alias(f"_v{i}") for i, v in enumerate(values)],
+    )
+    asked = (
+        probes.select(*keys, *carry, day_number(day).alias("_d")).distinct()
+        .withColumn("_b", number(d)).withColumn("_probe", F.lit(True))
+    )
+    # both windows use the partitioning of one shuffle
+    inside = Window.partitionBy(*keys, "_b").orderBy("_d")
+    overall = Window.partitionBy(*keys).orderBy("_d")
+    first = Window.unboundedPreceding
+    sums = {}
+    for i, _ in enumerate(values):
+        sums[f"_s{i}"] = F.sum(f"_v{i}").over(overall.rangeBetween(first, -beyond))
+    for i, _ in enumerate(values):
+        sums[f"_e{i}"] = F.sum(f"_x{i}").over(inside.rangeBetween(first, -1))
+        sums[f"_f{i}"] = F.sum(f"_x{i}").over(inside.rangeBetween(first, -beyond))
+    shrunk = F.exp((d - origin) * F.lit(-p.decay_rate))
+
+    def zero(name):
+        return F.coalesce(F.col(name), F.lit(0.0))
+
+    return (
+        daily.unionByName(asked, allowMissingColumns=True).withColumns(sums).filter("_probe")
+        .select(
+            *keys, *carry, F.date_from_unix_date("_d").alias(day),
+            *[
+                (shrunk * (zero(f"_e{i}") - zero(f"_f{i}")) + zero(f"_s{i}") * p.decay_floor).alias(v)
+                for i, v in enumerate(values)
+            ],
+        )
+    )
+
+
 def asof_recent(
     events: DataFrame,
     probes: DataFrame,

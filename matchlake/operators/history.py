@@ -7,7 +7,8 @@ day), only at earlier days.
 The overlap of two rosters is a sum over shared players, so a roster-weighted sum equals
 the sum, over the roster's players, of that player's own decayed history. The
 point-in-time view uses this: it keeps running sums per (team, player) and never pairs
-rosters with each other.
+matches of rosters with each other. Counts of matches go through a dictionary of the rosters of a team,
+which is as long as its line-ups and not as its matches.
 """
 
 from __future__ import annotations
@@ -25,12 +26,16 @@ from matchlake.functions.scalar import (
     roster_of,
     rounded,
 )
-from matchlake.operators.asof import asof_recent, asof_sums, bounded_window, running_number
+from matchlake.operators.asof import (
+    asof_decayed,
+    asof_recent,
+    asof_sums,
+    bounded_window,
+    running_number,
+)
 from matchlake.operators.perspective import canonical_pair, mode_list, sides
 from matchlake.params import DEFAULTS, ModelParams
-
-# day the exponent of a decayed running sum is counted from; doubles hold +-80 years
-EPOCH = "2000-01-01"
+from matchlake.sources.store import staged
 
 
 def latest_date(matches: DataFrame) -> Column:
@@ -301,47 +306,6 @@ def side_probes(history: DataFrame) -> DataFrame:
     return history.select("team", "roster_key", F.col("match_date").alias("as_of_date"))
 
 
-def roster_groups(roster_key: Column, size: int) -> Column:
-    """All groups of 1..size players of a roster, as sorted '|'-joined keys."""
-    grown = F.aggregate(
-        F.sort_array(roster_of(roster_key)),
-        F.array(F.array().cast("array<string>")),
-        lambda acc, x: F.concat(
-            acc,
-            F.transform(
-                F.filter(acc, lambda g: F.size(g) < size), lambda g: F.concat(g, F.array(x))
-            ),
-        ),
-    )
-    return F.transform(
-        F.filter(grown, lambda g: F.size(g) > 0),
-        lambda g: F.struct(F.size(g).alias("size"), F.array_join(g, "|").alias("key")),
-    )
-
-
-def _decayed(value: Column, day: str, p: ModelParams) -> Column:
-    age = F.date_diff(F.col(day), F.lit(EPOCH).cast("date"))
-    return value * F.exp(age * F.lit(p.decay_rate))
-
-
-def _decayed_sums(names: dict[str, Column], day: str, p: ModelParams) -> dict:
-    """Running sums from which a clamped decayed sum can be taken at any day."""
-    beyond = p.decay_horizon + 1
-    sums = {}
-    for name, value in names.items():
-        sums[f"{name}_e1"] = (_decayed(value, day, p), 1)
-        sums[f"{name}_e2"] = (_decayed(value, day, p), beyond)
-        sums[f"{name}_old"] = (value, beyond)
-    return sums
-
-
-def _decayed_value(name: str, day: str, p: ModelParams) -> Column:
-    """Inside the horizon the exponential, beyond it the floor."""
-    age = F.date_diff(F.col(day), F.lit(EPOCH).cast("date"))
-    inside = F.exp(age * F.lit(-p.decay_rate)) * (F.col(f"{name}_e1") - F.col(f"{name}_e2"))
-    return inside + F.col(f"{name}_old") * p.decay_floor
-
-
 def _by_player(history: DataFrame, values: list[str]) -> DataFrame:
     """History per (team, player, day); days of one roster are summed before the explode."""
     daily = history.groupBy("team", "roster_key", "match_date").agg(
@@ -355,63 +319,51 @@ def _by_player(history: DataFrame, values: list[str]) -> DataFrame:
     )
 
 
-def matches_played_asof(
-    history: DataFrame, probes: DataFrame, p: ModelParams = DEFAULTS
-) -> DataFrame:
-    """Earlier matches that share at least one player, per probe.
+def roster_links(history: DataFrame, probes: DataFrame) -> DataFrame:
+    """Pairs (team, roster_key, other) of an asked and a played roster that share a player.
 
-    A union of sets by inclusion and exclusion over groups of players: every match counts
-    once per group of its roster, and groups of a probe are added with alternating sign.
-    Rosters larger than usual take the direct distinct count instead.
+    An inverted index from player to roster proposes the pairs; each is kept at the first
+    shared player in sorted order, so it stands there once whatever the size of the rosters.
+    A roster that first played after the other was last asked for is not proposed.
     """
-    size = p.roster_size
-    daily = history.groupBy("team", "roster_key", "match_date").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    groups = daily.filter(F.col("roster_key") != "").select(
-        "team",
-        F.explode(roster_groups(F.col("roster_key"), size)).alias("g"),
-        F.col("match_date").alias("as_of_date"),
-        "n",
+    def listed(rows, day):
+        return (
+            rows.filter(F.col("roster_key") != "").groupBy("team", "roster_key").agg(day.alias("day"))
+            .withColumn("players", F.array_sort(F.array_distinct(roster_of("roster_key"))))
+        )
+
+    asked = listed(probes, F.max("as_of_date")).select(
+        "team", "roster_key", F.col("day").alias("last"), F.col("players").alias("asked"),
+        F.explode("players").alias("player_name"),
     )
-    probes = probes.filter(F.col("roster_key") != "").distinct()
-    usual = F.size(roster_of("roster_key")) <= size
-    asked = probes.filter(usual).select(
-        "team",
-        "roster_key",
-        "as_of_date",
-        F.explode(roster_groups(F.col("roster_key"), size)).alias("g"),
+    played = listed(history, F.min("match_date")).select(
+        "team", F.col("roster_key").alias("other"), F.col("day").alias("first"), F.col("players").alias("played"),
+        F.explode("players").alias("player_name"),
     )
-    seen = asof_sums(
-        groups.select("team", F.col("g.key").alias("group"), "as_of_date", "n"),
-        asked.select(
-            "team", F.col("g.key").alias("group"), "as_of_date", "roster_key",
-            F.col("g.size").alias("size"),
-        ),
-        ["team", "group"],
-        "as_of_date",
-        {"n": (F.col("n"), 1)},
-        carry=["roster_key", "size"],
+    shared_first = F.get(F.array_intersect("asked", "played"), 0) == F.col("player_name")
+    return (
+        asked.join(played, ["team", "player_name"])
+        .filter(F.col("first") < F.col("last")).filter(shared_first)
+        .select("team", "roster_key", "other")
     )
-    sign = F.when(F.col("size") % 2 == 1, F.col("n")).otherwise(-F.col("n"))
-    counted = seen.groupBy("team", "roster_key", "as_of_date").agg(F.sum(sign).alias("n"))
 
-    large = probes.filter(~usual).select(
-        "team", "roster_key", "as_of_date", F.explode(roster_of("roster_key")).alias("player_name")
-    )
-    played = history.select(
-        "team", "match_id", "match_date", F.explode("roster").alias("player_name")
+
+def matches_played_asof(history: DataFrame, probes: DataFrame) -> DataFrame:
+    """Earlier matches that share at least one player, per probe; rosters of any size.
+
+    Matches are counted per (team, roster, day) before they go to the rosters they count
+    for; one running sum then answers all days of a roster.
+    """
+    probes = probes.select("team", "roster_key", "as_of_date").filter(F.col("roster_key") != "").distinct()
+    daily = history.groupBy("team", "roster_key", "match_date").agg(F.count(F.lit(1)).alias("n"))
+    counted = (
+        daily.withColumnRenamed("roster_key", "other")
+        .join(roster_links(history, probes), ["team", "other"])
+        .select("team", "roster_key", F.col("match_date").alias("as_of_date"), "n")
     )
-    direct = (
-        large.join(played, ["team", "player_name"], "left")
-        .groupBy("team", "roster_key", "as_of_date")
-        .agg(
-            F.count_distinct(
-                F.when(F.col("match_date") < F.col("as_of_date"), F.col("match_id"))
-            ).alias("n")
-        )
+    return asof_sums(
+        counted, probes, ["team", "roster_key"], "as_of_date", {"n": (F.col("n"), 1)}
     )
-    return counted.unionByName(direct)
 
 
 def weighted_sums_asof(
@@ -419,7 +371,7 @@ def weighted_sums_asof(
 ) -> DataFrame:
     """Decayed, roster-weighted sums of ``values`` before every probe (team, roster, day)."""
     probes = probes.select("team", "roster_key", "as_of_date").distinct()
-    per_player = asof_sums(
+    per_player = asof_decayed(
         _by_player(history, values),
         probes.filter(F.col("roster_key") != "").select(
             "team",
@@ -429,52 +381,75 @@ def weighted_sums_asof(
         ),
         ["team", "player_name"],
         "as_of_date",
-        _decayed_sums({c: F.col(c) for c in values}, "as_of_date", p),
+        values,
+        p,
         carry=["roster_key"],
     )
     return per_player.groupBy("team", "roster_key", "as_of_date").agg(
-        *[
-            (F.sum(_decayed_value(c, "as_of_date", p)) / float(p.roster_size)).alias(c)
-            for c in values
-        ]
+        *[(F.sum(c) / float(p.roster_size)).alias(c) for c in values]
     )
 
 
-def weighted_record_asof(
-    history: DataFrame, probes: DataFrame, p: ModelParams = DEFAULTS, counts: bool = True
+RECORD_VALUES = ["n", "won", "maps_won", "maps_played"]
+
+
+def mode_values(p: ModelParams = DEFAULTS) -> list[str]:
+    return [f"m{i}_{c}" for i, _ in enumerate(mode_list(p)) for c in ("w", "won")]
+
+
+def form_sums_asof(
+    form_history: DataFrame, probes: DataFrame, p: ModelParams = DEFAULTS, modes: bool = True
 ) -> DataFrame:
-    """The weighted record before every probe; ``counts=False`` leaves out matches_played."""
-    ones = history.withColumn("n", F.lit(1))
-    sums = weighted_sums_asof(ones, probes, ["n", "won", "maps_won", "maps_played"], p)
+    """The sums behind the record and the mode statistics, from one pass over the history."""
+    values = RECORD_VALUES + (mode_values(p) if modes else [])
+    return weighted_sums_asof(form_history.withColumn("n", F.lit(1)), probes, values, p)
+
+
+def _record_of_sums(n) -> list[Column]:
     # zero history leaves rounding noise of the running sums behind
-    clean = {c: F.when(F.col(c) > 1e-9, F.col(c)).otherwise(0.0) for c in sums.columns[3:]}
-    sums = sums.withColumns(clean)
-    keys = ["team", "roster_key", "as_of_date"]
-    columns = _record_columns(
-        F.lit(0), F.col("n"), F.col("won"), F.col("maps_won"), F.col("maps_played")
-    )
-    if not counts:
-        return sums.select(*keys, *columns[1:])
-    played = matches_played_asof(history, probes, p).withColumnRenamed("n", "_played")
-    columns[0] = F.coalesce("_played", F.lit(0)).cast("long").alias("matches_played")
-    return sums.join(played, keys, "left").select(*keys, *columns)
+    clean = [F.when(F.col(c) > 1e-9, F.col(c)).otherwise(0.0) for c in RECORD_VALUES]
+    return _record_columns(n, *clean)
 
 
-def mode_stats_asof(
-    form_history: DataFrame, probes: DataFrame, p: ModelParams = DEFAULTS
-) -> DataFrame:
-    """Mode win rates and weights before every probe, one column set per scored mode."""
-    modes = range(len(mode_list(p)))
-    values = [f"m{i}_{c}" for i in modes for c in ("w", "won")]
-    sums = weighted_sums_asof(form_history, probes, values, p)
+def _modes_of_sums(p: ModelParams) -> list[Column]:
     columns = []
-    for i in modes:
+    for i, _ in enumerate(mode_list(p)):
         w = F.when(F.col(f"m{i}_w") > 1e-9, F.col(f"m{i}_w")).otherwise(0.0)
         columns += [
             rounded(ratio(F.col(f"m{i}_won"), w, times=100), 1).alias(f"m{i}_win_rate"),
             rounded(w, 1).alias(f"m{i}_weighted_maps"),
         ]
-    return sums.select("team", "roster_key", "as_of_date", *columns)
+    return columns
+
+
+PROBE = ["team", "roster_key", "as_of_date"]
+
+
+def weighted_record_asof(
+    history: DataFrame,
+    probes: DataFrame,
+    p: ModelParams = DEFAULTS,
+    counts: bool = True,
+    sums: DataFrame | None = None,
+) -> DataFrame:
+    """The weighted record before every probe; ``counts=False`` leaves out matches_played.
+
+    ``sums`` can be handed in where :func:`form_sums_asof` has been worked out already.
+    """
+    if sums is None:
+        sums = form_sums_asof(history, probes, p, modes=False)
+    if not counts:
+        return sums.select(*PROBE, *_record_of_sums(F.lit(0))[1:])
+    played = matches_played_asof(history, probes).withColumnRenamed("n", "_played")
+    return sums.join(played, PROBE, "left").select(*PROBE, *_record_of_sums(F.coalesce("_played", F.lit(0))))
+
+
+def mode_stats_asof(
+    form_history: DataFrame, probes: DataFrame, p: ModelParams = DEFAULTS
+) -> DataFrame:
+    """Mode win rates and weights before every probe, one column set per scored mode."""
+    sums = weighted_sums_asof(form_history, probes, mode_values(p), p)
+    return sums.select(*PROBE, *_modes_of_sums(p))
 
 
 def roster_quality_asof(
@@ -667,19 +642,27 @@ def form_asof(
     context: bool = True,
     modes: bool = True,
 ) -> DataFrame:
-    """Everything known about every (team, roster) before a day, one row per probe."""
-    keys = ["team", "roster_key", "as_of_date"]
-    probes = probes.select(*keys).distinct()
-    form = weighted_record_asof(form_history, probes, p).join(
-        roster_quality_asof(player_match_stats, matches, probes), keys
-    )
+    """Everything known about every (team, roster) before a day, one row per probe.
+
+    Record, mode statistics and the opponents' records come from one pass over the history:
+    with ``context`` the sides of the history are asked for together with the probes.
+    """
+    probes = staged(probes.select(*PROBE).distinct())
+    asked = probes.unionByName(side_probes(form_history)).distinct() if context else probes
+    sums = form_sums_asof(form_history, asked, p, modes)
+    mine = sums
+    if context:
+        sums = staged(sums)
+        mine = sums.join(probes, PROBE, "left_semi")
+    played = matches_played_asof(form_history, probes).withColumnRenamed("n", "_played")
+    columns = _record_of_sums(F.coalesce("_played", F.lit(0))) + (_modes_of_sums(p) if modes else [])
+    form = mine.join(played, PROBE, "left").select(*PROBE, *columns)
+    form = form.join(roster_quality_asof(player_match_stats, matches, probes), PROBE)
     if context:
-        own = weighted_record_asof(form_history, side_probes(form_history), p, counts=False)
-        form = form.join(recent_context_asof(form_history, probes, own, p), keys)
+        own = weighted_record_asof(form_history, probes, p, counts=False, sums=sums)
+        form = form.join(recent_context_asof(form_history, probes, own, p), PROBE)
     else:
-        form = form.join(momentum_asof(form_history, probes, p), keys)
-    if modes:
-        form = form.join(mode_stats_asof(form_history, probes, p), keys)
+        form = form.join(momentum_asof(form_history, probes, p), PROBE)
     return form.withColumn("roster", roster_of("roster_key"))
 
 
