@@ -337,6 +337,17 @@ SELECT p.team, p.roster_key, p.as_of_date,
 FROM probes p LEFT JOIN (SELECT * FROM context_rows WHERE vn <= 5) x USING (team, roster_key, as_of_date)
 GROUP BY p.team, p.roster_key, p.as_of_date"""
 
+CTES["pool_seen"] = """
+SELECT p.team, p.as_of_date, h.mode, h.map_name, SUM(LEN(LIST_INTERSECT(p.roster, h.roster)) / CAST(4 AS DOUBLE)) AS plays,
+  SUM(LEN(LIST_INTERSECT(p.roster, h.roster)) / CAST(4 AS DOUBLE) * h.won) AS won
+FROM (SELECT team, as_of_date, roster FROM (
+    SELECT d.team, d.as_of_date, h.roster, ROW_NUMBER() OVER (PARTITION BY d.team, d.as_of_date
+      ORDER BY h.match_date DESC, h.match_id DESC) AS rn
+    FROM (SELECT DISTINCT team, match_date AS as_of_date FROM hist) d JOIN hist h ON h.team = d.team AND h.match_date < d.as_of_date)
+  WHERE rn = 1) p
+JOIN map_hist h ON h.team = p.team AND h.match_date < p.as_of_date
+WHERE LEN(LIST_INTERSECT(p.roster, h.roster)) > 0 GROUP BY ALL"""
+
 CTES["asof_quality"] = f"""
 SELECT team, roster_key, as_of_date, {rnd('COALESCE(AVG(kd), 0)', 2)} AS avg_kd,
   {rnd('COALESCE(AVG(rating), 0)', 2)} AS avg_rating, {rnd('COALESCE(AVG(damage), 0)', 0)} AS avg_damage,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from matchlake.functions.scalar import decay, rounded, score_text
 from matchlake.operators import history as H
+from matchlake.operators import map_pool as MP
 from matchlake.operators import perspective as P
 from matchlake.operators import ratings as E
 from matchlake.operators import rollups as R
@@ -236,6 +237,32 @@ def _(t):
     return r6(df.select("fixture_id", F.inline("predicted_maps")).drop("reason"))
 
 
+def _pool_asof_sql():
+    return sql(f"""SELECT f.fixture_id, s.slot AS map_number, s.mode, r.map_name AS predicted_map,
+  {rnd('r.a_rate', 1)} AS team_a_winrate, {rnd('r.b_rate', 1)} AS team_b_winrate,
+  {rnd('r.a_plays', 1)} AS team_a_plays, {rnd('r.b_plays', 1)} AS team_b_plays,
+  {rnd('(r.a_rate - r.b_rate) * LEAST(r.a_plays + r.b_plays, 10) / CAST(10 AS DOUBLE)')} AS advantage_a,
+  CASE WHEN r.a_plays + r.b_plays > 0 THEN 'most played' ELSE 'unplayed' END AS reason
+FROM fx_fixtures f CROSS JOIN (VALUES (1, 'Hardpoint', 1), (2, 'Search & Destroy', 1), (3, 'Overload', 1),
+  (4, 'Hardpoint', 2), (5, 'Search & Destroy', 2)) s(slot, mode, k)
+JOIN (SELECT *, ROW_NUMBER() OVER (PARTITION BY fixture_id, mode ORDER BY a_plays + b_plays DESC, map_name) AS rn FROM (
+  SELECT f.fixture_id, p.mode, p.map_name, COALESCE(a.plays, 0) AS a_plays, COALESCE(b.plays, 0) AS b_plays,
+    COALESCE(a.won / a.plays * 100.0, 50.0) AS a_rate, COALESCE(b.won / b.plays * 100.0, 50.0) AS b_rate
+  FROM fx_fixtures f JOIN (SELECT mode, map_name, MIN(match_date) AS first FROM map_rows GROUP BY ALL) p ON p.first < f.as_of_date
+  LEFT JOIN pool_seen a ON a.team = f.team_a AND a.as_of_date = f.as_of_date AND a.mode = p.mode AND a.map_name = p.map_name
+  LEFT JOIN pool_seen b ON b.team = f.team_b AND b.as_of_date = f.as_of_date AND b.mode = p.mode AND b.map_name = p.map_name)) r
+  ON r.fixture_id = f.fixture_id AND r.mode = s.mode AND r.rn = s.k""")
+
+
+@query("pick_pool_asof", _pool_asof_sql())
+def _(t):
+    """The pool of every fixture on its own day, with the rosters of the latest earlier matches."""
+    fixtures = M.with_rosters_asof(t.fixtures, form_history(t))
+    df = MP.with_map_pool_asof(fixtures, map_history(t))
+    picked = df.select("fixture_id", F.inline("predicted_maps"))
+    return r6(picked.filter(F.col("team_a_plays").isNotNull()))
+
+
 def _single_sql(symmetric: bool, compat: bool) -> str:
     def rate(x):
         base = f"COALESCE({x}.won / CAST({x}.n AS DOUBLE){' * 100.0' if compat else ''}, 0.5)"
