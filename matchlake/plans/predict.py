@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from matchlake.functions.scalar import confidence_image, confidence_text, form_mark, margin_note
 from matchlake.functions.scalar import rounded
 from matchlake.operators import history as H
+from matchlake.operators import map_pool as MP
 from matchlake.operators import perspective as P
 from matchlake.operators import ratings as E
 from matchlake.operators import rollups as R
@@ -118,8 +119,12 @@ def score_asof(
     match_rosters: bool = False,
     context: bool = False,
     form_history: DataFrame | None = None,
+    map_pool: bool = False,
 ) -> DataFrame:
-    """Leakage-free statistical prediction of every fixture on its own day."""
+    """Leakage-free statistical prediction of every fixture on its own day.
+
+    ``map_pool`` adds the maps each series is likely to be played on, as of that day.
+    """
     if form_history is None:
         form_history = staged(P.form_history(matches, map_results, player_match_stats, p))
     fixtures = staged(with_rosters_asof(fixtures, form_history, match_rosters))
@@ -129,7 +134,10 @@ def score_asof(
         )
     )
     pairs = H.pair_form_asof(H.pair_events(matches, map_results, p), fixtures, p)
-    return _statistical(S.attach_form(H.head_to_head(fixtures, pairs), form), p)
+    df = _statistical(S.attach_form(H.head_to_head(fixtures, pairs), form), p)
+    if map_pool:
+        df = MP.with_map_pool_asof(df, staged(P.map_history(matches, map_results, player_match_stats)), p)
+    return df
 
 
 def with_statistical_columns(df: DataFrame) -> DataFrame:

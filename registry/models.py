@@ -11,6 +11,7 @@ from matchlake.operators import perspective as P
 from matchlake.operators import ratings as E
 from matchlake.operators import rollups as R
 from matchlake.operators import scoring as S
+from matchlake.params import ModelParams
 from matchlake.plans import evaluation as V
 from matchlake.plans import learning as L
 from matchlake.plans import predict as M
@@ -89,6 +90,37 @@ def _(t):
     return H.weighted_record_asof(rows, H.side_probes(rows))
 
 
+@query("squad_matches_played", sql("""SELECT p.team, p.roster_key, p.as_of_date, CAST(COUNT(h.match_id) AS BIGINT) AS matches_played
+FROM (SELECT r.team, MAKE_DATE(CAST(MAX(YEAR(m.match_date)) AS BIGINT), 12, 31) AS as_of_date, LIST(DISTINCT u.name) AS squad,
+        STRING_AGG(DISTINCT u.name, '|' ORDER BY u.name) AS roster_key
+      FROM rosters r JOIN fx_matches m ON m.match_id = r.match_id, UNNEST(r.roster) u(name)
+      GROUP BY r.team, YEAR(m.match_date) // 2) p
+LEFT JOIN hist h ON h.team = p.team AND h.match_date < p.as_of_date AND LIST_HAS_ANY(p.squad, h.roster)
+GROUP BY ALL"""))
+def _(t):
+    """Matches with anyone of a team's squad of two years, squads of up to seven players."""
+    rows = form_history(t)
+    squads = (
+        rows.select("team", F.year("match_date").alias("year"), F.explode("roster").alias("player_name"))
+        .groupBy("team", F.floor(F.col("year") / 2).alias("season"))
+        .agg(F.array_join(F.sort_array(F.collect_set("player_name")), "|").alias("roster_key"), F.max("year").alias("year"))
+        .select("team", "roster_key", F.make_date("year", F.lit(12), F.lit(31)).alias("as_of_date"))
+    )
+    return H.matches_played_asof(rows, squads).select("team", "roster_key", "as_of_date", F.col("n").alias("matches_played"))
+
+
+LATER, FAST = 10_000, ModelParams(decay_rate=0.693 / 7)
+
+
+@query("weighted_record_short", sql(f"""SELECT team, roster_key, as_of_date + {LATER} AS as_of_date,
+  {rnd('COALESCE(SUM(o * GREATEST(0.01, LEAST(1.0, EXP(-(0.693 / 7::DOUBLE) * (as_of_date - match_date))))), 0)', 2)} AS weighted_matches
+FROM asof_pairs GROUP BY ALL"""))
+def _(t):
+    """Weighted matches at a half-life of seven days, on days of the 2020s."""
+    rows = form_history(t).withColumn("match_date", F.date_add("match_date", LATER))
+    return H.weighted_record_asof(rows, H.side_probes(rows), FAST, counts=False).select(*H.PROBE, "weighted_matches")
+
+
 @query("momentum_asof", sql("SELECT * FROM asof_momentum"))
 def _(t):
     rows = form_history(t)
@@ -881,16 +913,48 @@ def _(t):
 
 @query("strict_backtest")
 def _(t):
-    """Statistical and rating model on every match after the 20th, earlier matches only."""
+    """All four models on every match after the 20th, each from earlier matches only."""
     fixtures = V.backtest_fixtures(t.matches, 20)
     scored = staged(
         M.score_asof(
-            fixtures, t.matches, t.map_results, t.player_match_stats, form_history=t.form_history
-        )
-    )
-    history = rating_history(t)
-    ratings = E.ratings_asof(history, M.fixture_probes(scored))
-    return r6(V.backtest_accuracy(M.compare_models(scored, ratings), text_scores=False))
+            fixtures, t.matches, t.map_results, t.player_match_stats, context=True, form_history=t.form_history
+        ).withColumns(L.feature_columns())
+    )
+    data = staged(training_set(t))
+    versions = L.chosen_versions(data, data.count())
+    learned = L.score_versions(scored, versions, L.version_days(data, versions))
+    ratings = E.ratings_asof(rating_history(t), M.fixture_probes(scored))
+    return r6(V.backtest_accuracy(M.compare_models(learned, ratings, mode="weighted"), text_scores=False))
+
+
+def _backtest_versions_sql():
+    return f"""WITH feats AS ({_features_sql()}),
+numbered AS (SELECT *, ROW_NUMBER() OVER (ORDER BY as_of_date, fixture_id) AS position, COUNT(*) OVER () AS n FROM feats),
+sizes AS (SELECT MAX(n) AS n, LEAST(5, GREATEST(2, MAX(n) // 20), MAX(n) - 1) AS splits FROM numbered),
+starts AS (SELECT unnest(range(1, splits + 1)) AS version, n, splits FROM sizes),
+bounds AS (SELECT version, n - splits * (n // (splits + 1)) + (version - 1) * (n // (splits + 1)) AS start FROM starts),
+known AS (SELECT b.version, b.start, COUNT(*) AS trained_rows, CAST(SUM(label) AS BIGINT) AS positives, MAX(as_of_date) AS last_day
+  FROM bounds b JOIN numbered x ON x.position <= b.start GROUP BY ALL),
+spans AS (SELECT *, LEAD(last_day) OVER (ORDER BY version) AS next_day FROM known)
+SELECT CAST(version AS INTEGER) AS version, CAST(start AS BIGINT) AS start, trained_rows, positives, last_day,
+  (SELECT COUNT(*) FROM (SELECT CAST(o_orderkey AS BIGINT) AS id, CAST(o_orderdate AS DATE) AS day,
+     ROW_NUMBER() OVER (ORDER BY CAST(o_orderdate AS DATE), o_orderkey) AS no
+     FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)) o
+   WHERE no > 20 AND day > last_day AND (next_day IS NULL OR day <= next_day)) AS fixtures
+FROM spans"""
+
+
+@query("backtest_versions", _backtest_versions_sql())
+def _(t):
+    """Model versions of the replay: what each was trained on and how many fixtures it scores."""
+    data = staged(training_set(t))
+    versions = L.chosen_versions(data, data.count())
+    days = L.version_days(data, versions)
+    rows = [(i + 1, v.start, v.rows, v.positives, day) for i, (v, day) in enumerate(zip(versions, days))]
+    known = t.spark.createDataFrame(rows, "version int, start long, trained_rows long, positives long, last_day date")
+    fixtures = V.backtest_fixtures(t.matches, 20).select(L.version_of(F.col("as_of_date"), days).alias("version"))
+    counts = fixtures.groupBy("version").agg(F.count(F.lit(1)).alias("fixtures"))
+    return known.join(counts, "version", "left").fillna(0, ["fixtures"])
 
 
 @query("asof_predictions")
