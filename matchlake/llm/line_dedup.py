@@ -1,12 +1,13 @@
 """Line deduplication with a log-template tree.
 
 DataFrame functions only. A line goes down a tree of fixed depth: its number of tokens, then its
-leading tokens. Tokens with a digit are variable fields and read ``<*>`` from the start, unless most
-of the line has digits: rows of numbers are content. In a leaf
+leading tokens. Tokens with a digit are variable fields and read ``<*>`` from the start. In a leaf
 a line is generalised further: besides its own template it has four in which one quarter of the
 tokens after the leading ones is a single ``<*>``, so lines that differ inside one quarter meet in
-a common template. A template that occurs in at least ``min_docs`` documents is recurring, and
-its lines are dropped everywhere but in the document with the smallest id.
+a common template. A template needs a constant token: rows of nothing but numbers are content. How many
+documents make it recurring depends on how much it says: ``specific_docs`` from ``specific_tokens``
+constant tokens on, ``min_docs`` below. The lines of a recurring template are dropped everywhere but
+in the document with the smallest id.
 
 Only 64-bit keys of templates are shuffled, never lines; a hot template is pre-aggregated per task.
 """
@@ -16,40 +17,62 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MIN_DOCS = 5
+#: Documents that make a template recurring, and constant tokens from which fewer do.
+MIN_DOCS, SPECIFIC_DOCS = 5, 2
+SPECIFIC_TOKENS = 20
 LEADING = 2
 #: Shorter lines are not generalised beyond their variable fields.
 MIN_TOKENS = 8
 QUARTERS = 4
 
+OPEN = "<*>"
 _SPACE, _TOKEN = r"[\x09-\x0D ]+", r"[^\x09-\x0D ]"
 
 
 def tokens(line: Column) -> Column:
-    """Tokens between ASCII white space; those with a digit become ``<*>`` if they are half at most."""
+    """Tokens between ASCII white space; those with a digit become ``<*>``."""
     plain = F.array_remove(F.split(line, _SPACE), "")
-    masked = F.transform(plain, lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))
-    constant = F.size(F.filter(plain, lambda t: ~t.rlike("[0-9]")))
-    return F.when(line.rlike("[0-9]") & (2 * constant >= F.size(plain)), masked).otherwise(plain)
+    masked = F.transform(plain, lambda t: F.when(t.rlike("[0-9]"), F.lit(OPEN)).otherwise(t))
+    return F.when(line.rlike("[0-9]"), masked).otherwise(plain)
 
 
-def part_hashes(t: Column, leading: int) -> Column:
-    """Hashes of the leading tokens and of the quarters of the rest; each token is hashed once."""
+def _parts(t: Column, leading: int, of) -> Column:
+    """A value of the leading tokens and of each quarter of the rest."""
     n = F.size(t)
     edge = [F.lit(leading) + F.floor((n - leading) * q / QUARTERS).cast("int") for q in range(QUARTERS + 1)]
-    quarters = [F.xxhash64(F.slice(t, a + 1, b - a)) for a, b in zip(edge, edge[1:])]
-    long_enough = F.array(F.xxhash64(F.slice(t, 1, leading)), *quarters)
-    return F.when(n >= leading, long_enough).otherwise(F.array(F.xxhash64(t)))
+    quarters = [of(F.slice(t, a + 1, b - a)) for a, b in zip(edge, edge[1:])]
+    return F.when(n >= leading, F.array(of(F.slice(t, 1, leading)), *quarters)).otherwise(F.array(of(t)))
+
+
+def part_hashes(t: Column, leading: int) -> Column:
+    """Hashes of the leading tokens and of the quarters of the rest; each token is hashed once."""
+    return _parts(t, leading, F.xxhash64)
 
 
-def template_keys(n: Column, parts: Column, min_tokens: int) -> Column:
-    """Keys of the templates of a line of n tokens: its own first, then those with one open quarter."""
-    own = F.xxhash64(n, F.lit(-1), parts)
+def part_constants(t: Column, leading: int) -> Column:
+    """Numbers of constant tokens in the same parts."""
+    return _parts(t, leading, lambda part: F.size(F.array_remove(part, OPEN)))
+
+
+def template_keys(n: Column, parts: Column, constants: Column, min_tokens: int, specific: int) -> Column:
+    """Keys of the templates of a line of n tokens: its own first, then those with one open quarter.
+
+    The lowest bit of a key says that the template has ``specific`` constant tokens or more;
+    templates without any have no key.
+    """
+    def key(value: Column, said: Column) -> Column:
+        marked = F.shiftleft(value, 1).bitwiseOR(F.when(said >= specific, 1).otherwise(0).cast("long"))
+        return F.when(said > 0, marked)
+
+    whole = F.aggregate(constants, F.lit(0), lambda a, x: a + x)
+    own = key(F.xxhash64(n, F.lit(-1), parts), whole)
 
     def without(q: int) -> Column:
-        return F.xxhash64(n, F.lit(q), *[parts[k] for k in range(QUARTERS + 1) if k != q + 1])
+        hashed = F.xxhash64(n, F.lit(q), *[parts[k] for k in range(QUARTERS + 1) if k != q + 1])
+        return key(hashed, whole - constants[q + 1])
 
-    return F.when(n >= min_tokens, F.array(own, *[without(q) for q in range(QUARTERS)])).otherwise(F.array(own))
+    keys = F.when(n >= min_tokens, F.array(own, *[without(q) for q in range(QUARTERS)])).otherwise(F.array(own))
+    return F.array_compact(keys)
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -60,7 +83,8 @@ def _lines(documents: DataFrame) -> DataFrame:
 
 
 def dropped_lines(
-    documents: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEADING, min_tokens: int = MIN_TOKENS
+    documents: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEADING, min_tokens: int = MIN_TOKENS,
+    specific_tokens: int = SPECIFIC_TOKENS, specific_docs: int = SPECIFIC_DOCS,
 ) -> DataFrame:
     """(_id, _digest, _drop): sorted positions from 0 of the lines to drop, of documents that have any."""
     keyed = (
@@ -68,13 +92,19 @@ def dropped_lines(
         .select("_id", "_digest", F.posexplode_outer("_lines").alias("_at", "_line"))
         .filter(F.col("_line").rlike(_TOKEN))  # before the tokens: a filter on them would make them twice
         .select("_id", "_digest", "_at", tokens(F.col("_line")).alias("_t"))
-        .select("_id", "_digest", "_at", F.size("_t").alias("_n"), part_hashes(F.col("_t"), leading).alias("_parts"))
-        .select("_id", "_digest", "_at", F.explode(template_keys(F.col("_n"), F.col("_parts"), min_tokens)).alias("_key"))
+        .select(
+            "_id", "_digest", "_at", F.size("_t").alias("_n"), part_hashes(F.col("_t"), leading).alias("_parts"),
+            part_constants(F.col("_t"), leading).alias("_said"),
+        )
+        .select("_id", "_digest", "_at", F.explode(
+            template_keys(F.col("_n"), F.col("_parts"), F.col("_said"), min_tokens, specific_tokens)
+        ).alias("_key"))
     )
+    needed = F.when(F.col("_key").bitwiseAND(F.lit(1)) == 1, min(min_docs, specific_docs)).otherwise(min_docs)
     recurring = (
         keyed.groupBy("_key", "_id").agg(F.lit(1).alias("_one"))
         .groupBy("_key").agg(F.count(F.lit(1)).alias("_docs"), F.min("_id").alias("_first"))
-        .filter(F.col("_docs") >= min_docs)
+        .filter(F.col("_docs") >= needed)
         .select(F.col("_key").alias("_known"), "_first")
     )
     return (
@@ -85,25 +115,29 @@ def dropped_lines(
 
 
 def dedup_lines(
-    documents: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEADING, min_tokens: int = MIN_TOKENS
+    documents: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEADING, min_tokens: int = MIN_TOKENS,
+    specific_tokens: int = SPECIFIC_TOKENS, specific_docs: int = SPECIFIC_DOCS,
 ) -> DataFrame:
     """``documents`` with recurring lines taken out of ``text``, plus n_lines and n_dropped.
 
     A line is what stands between line feeds; one without tokens is always kept. A null text has
     no lines and stays null. A template counts once per document however often it recurs inside,
     and its document with the smallest id keeps all its lines. Rows without an id count as one
-    document. Repeated rows are kept and treated alike. Other columns are left as they are.
+    document. Repeated rows are kept and treated alike. An empty table gives no rows; texts of any
+    length are cut into lines where they are read. Other columns are left as they are, of any name;
+    n_lines and n_dropped of the input are replaced.
     """
-    drop = dropped_lines(documents, min_docs, leading, min_tokens).select(
-        F.col("_id").alias("_drop_id"), F.col("_digest").alias("_drop_digest"), "_drop"
+    free = "_" * (1 + max(len(c) for c in documents.columns))
+    drop = dropped_lines(documents, min_docs, leading, min_tokens, specific_tokens, specific_docs).toDF(
+        f"{free}id", f"{free}digest", f"{free}drop"
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_drop_id")) & (F.xxhash64("text") == F.col("_drop_digest"))
-    lines = F.split("text", "\n", -1)
-    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
+    same = documents["doc_id"].eqNullSafe(F.col(f"{free}id")) & (F.xxhash64(documents["text"]) == F.col(f"{free}digest"))
+    lines, dropped = F.split("text", "\n", -1), F.col(f"{free}drop")
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)
     kept = F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
     return documents.join(drop.hint("merge"), same, "left").select(
-        *[F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text"
-          else documents[c] for c in documents.columns],
-        F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long").alias("n_dropped"),
+        *[F.when(dropped.isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text"
+          else documents[c] for c in documents.columns if c not in ("n_lines", "n_dropped")],
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
+        F.when(dropped.isNull(), 0).otherwise(F.size(dropped)).cast("long").alias("n_dropped"),
     )

@@ -121,15 +121,16 @@ l AS (SELECT rid, doc_id, i, ls[i] AS line,
              list_filter(string_split_regex(ls[i], '[\x09-\x0D ]+'), lambda x: x <> '') AS tk
       FROM (SELECT rid, doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
 m AS (SELECT rid, doc_id, i, len(tk) AS n,
-             CASE WHEN 2 * len(list_filter(tk, lambda x: NOT regexp_matches(x, '[0-9]'))) >= len(tk)
-                  THEN list_transform(tk, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) ELSE tk END AS t
+             list_transform(tk, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t
       FROM l WHERE len(tk) > 0),
-k AS (SELECT rid, doc_id, i, concat(n, ' own ', array_to_string(t, ' ')) AS tpl FROM m
+k AS (SELECT rid, doc_id, i, concat(n, ' own ', array_to_string(t, ' ')) AS tpl, t AS shown FROM m
       UNION ALL
-      SELECT rid, doc_id, i, concat(n, ' ', q, ' ', array_to_string(
-        list_concat(list_concat(t[1:2 + (n - 2) * q // 4], ['<*>']), t[3 + (n - 2) * (q + 1) // 4:]), ' ')) AS tpl
-      FROM m, (VALUES (0), (1), (2), (3)) v(q) WHERE n >= 8),
-r AS (SELECT tpl, min(doc_id) AS first_doc FROM k GROUP BY tpl HAVING count(DISTINCT doc_id) >= 5),
+      SELECT rid, doc_id, i, concat(n, ' ', q, ' ', array_to_string(shown, ' ')) AS tpl, shown FROM (
+        SELECT rid, doc_id, i, n, q, list_concat(list_concat(t[1:2 + (n - 2) * q // 4], ['<*>']), t[3 + (n - 2) * (q + 1) // 4:]) AS shown
+        FROM m, (VALUES (0), (1), (2), (3)) v(q) WHERE n >= 8)),
+r AS (SELECT tpl, min(doc_id) AS first_doc FROM k GROUP BY tpl
+      HAVING min(len(list_filter(shown, lambda x: x <> '<*>'))) > 0 AND count(DISTINCT doc_id) >=
+        CASE WHEN min(len(list_filter(shown, lambda x: x <> '<*>'))) >= 20 THEN 2 ELSE 5 END),
 x AS (SELECT DISTINCT rid, i FROM k JOIN r ON k.tpl = r.tpl WHERE doc_id <> first_doc),
 o AS (SELECT l.rid, count(*) AS n_lines, count(x.i) AS n_dropped,
              string_agg(CASE WHEN x.i IS NULL THEN line END, chr(10) ORDER BY l.i) AS kept
