@@ -9,7 +9,7 @@ documents make it recurring depends on how much it says: ``specific_docs`` from
 constant tokens on, ``min_docs`` below. The lines of a recurring template are dropped everywhere but
 in the document with the smallest id.
 
-Only 64-bit keys of templates are shuffled, never lines; a hot template is pre-aggregated per task.
+Only 64-bit keys of templates are written and shuffled, never lines; a hot template is pre-aggregated per task.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchlake.llm.common import staged
+
 #: Documents that make a template recurring, and constant tokens from which fewer do.
 MIN_DOCS, SPECIFIC_DOCS = 5, 2
 SPECIFIC_TOKENS = 20
@@ -36,22 +38,33 @@ def tokens(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), masked).otherwise(plain)
 
 
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _edges(t: Column, leading: int) -> list[Column]:
+    """Borders of the leading tokens and of the quarters of the rest."""
+    rest = F.size(t) - leading
+    return [F.lit(0), *[F.lit(leading) + F.floor(rest * q / QUARTERS).cast("int") for q in range(QUARTERS + 1)]]
+
+
 def _parts(t: Column, leading: int, of) -> Column:
-    """A value of the leading tokens and of each quarter of the rest."""
-    n = F.size(t)
-    edge = [F.lit(leading) + F.floor((n - leading) * q / QUARTERS).cast("int") for q in range(QUARTERS + 1)]
-    quarters = [of(F.slice(t, a + 1, b - a)) for a, b in zip(edge, edge[1:])]
-    return F.when(n >= leading, F.array(of(F.slice(t, 1, leading)), *quarters)).otherwise(F.array(of(t)))
+    """A value of the leading tokens and of each quarter of the rest, from tokens, start and length."""
+    edges = _edges(t, leading)
+    parts = [of(t, a, b - a) for a, b in zip(edges, edges[1:])]
+    return F.when(F.size(t) >= leading, F.array(*parts)).otherwise(F.array(of(t, F.lit(0), F.size(t))))
 
 
 def part_hashes(t: Column, leading: int) -> Column:
     """Hashes of the leading tokens and of the quarters of the rest; each token is hashed once."""
-    return _parts(t, leading, F.xxhash64)
+    return _parts(t, leading, lambda t, a, n: F.xxhash64(F.slice(t, a + 1, n)))
 
 
 def part_constants(t: Column, leading: int) -> Column:
     """Numbers of constant tokens in the same parts."""
-    return _parts(t, leading, lambda part: F.size(F.array_remove(part, OPEN)))
+    counted = _parts(t, leading, lambda t, a, n: F.size(F.array_remove(F.slice(t, a + 1, n), OPEN)))
+    return F.when(F.array_contains(t, OPEN), counted).otherwise(_parts(t, leading, lambda t, a, n: n))
 
 
 def template_keys(n: Column, parts: Column, constants: Column, min_tokens: int, specific: int) -> Column:
@@ -60,17 +73,22 @@ def template_keys(n: Column, parts: Column, constants: Column, min_tokens: int,
     The lowest bit of a key says that the template has ``specific`` constant tokens or more;
     templates without any have no key.
     """
-    def key(value: Column, said: Column) -> Column:
-        marked = F.shiftleft(value, 1).bitwiseOR(F.when(said >= specific, 1).otherwise(0).cast("long"))
-        return F.when(said > 0, marked)
+    def key(value: Column, count: Column) -> Column:
+        marked = F.shiftleft(value, 1).bitwiseOR(F.when(count >= specific, 1).otherwise(0).cast("long"))
+        return F.when(count > 0, marked)
 
-    whole = F.aggregate(constants, F.lit(0), lambda a, x: a + x)
-    own = key(F.xxhash64(n, F.lit(-1), parts), whole)
+    def said(but: int | None = None) -> Column:
+        total = F.lit(0)
+        for k in range(QUARTERS + 1):
+            if k != but:
+                total = total + F.coalesce(F.get(constants, k), F.lit(0))
+        return total
 
     def without(q: int) -> Column:
-        hashed = F.xxhash64(n, F.lit(q), *[parts[k] for k in range(QUARTERS + 1) if k != q + 1])
-        return key(hashed, whole - constants[q + 1])
+        hashed = F.xxhash64(n, F.lit(q), *[F.get(parts, k) for k in range(QUARTERS + 1) if k != q + 1])
+        return key(hashed, said(q + 1))
 
+    own = key(F.xxhash64(n, F.lit(-1), parts), said())
     keys = F.when(n >= min_tokens, F.array(own, *[without(q) for q in range(QUARTERS)])).otherwise(F.array(own))
     return F.array_compact(keys)
 
@@ -87,18 +105,17 @@ def dropped_lines(
     specific_tokens: int = SPECIFIC_TOKENS, specific_docs: int = SPECIFIC_DOCS,
 ) -> DataFrame:
     """(_id, _digest, _drop): sorted positions from 0 of the lines to drop, of documents that have any."""
-    keyed = (
+    def parted(t):
+        return F.struct(F.size(t).alias("n"), part_hashes(t, leading).alias("parts"), part_constants(t, leading).alias("said"))
+
+    keys = _let(_let(tokens(F.col("_line")), parted), lambda x: template_keys(
+        x["n"], x["parts"], x["said"], min_tokens, specific_tokens
+    ))
+    keyed = staged(  # read twice, made once
         _lines(documents)
         .select("_id", "_digest", F.posexplode_outer("_lines").alias("_at", "_line"))
         .filter(F.col("_line").rlike(_TOKEN))  # before the tokens: a filter on them would make them twice
-        .select("_id", "_digest", "_at", tokens(F.col("_line")).alias("_t"))
-        .select(
-            "_id", "_digest", "_at", F.size("_t").alias("_n"), part_hashes(F.col("_t"), leading).alias("_parts"),
-            part_constants(F.col("_t"), leading).alias("_said"),
-        )
-        .select("_id", "_digest", "_at", F.explode(
-            template_keys(F.col("_n"), F.col("_parts"), F.col("_said"), min_tokens, specific_tokens)
-        ).alias("_key"))
+        .select("_id", "_digest", "_at", F.explode(keys).alias("_key"))
     )
     needed = F.when(F.col("_key").bitwiseAND(F.lit(1)) == 1, min(min_docs, specific_docs)).otherwise(min_docs)
     recurring = (
