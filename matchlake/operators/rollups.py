@@ -143,14 +143,19 @@ def team_map_mode_list(
 # ---- pairs ------------------------------------------------------------------
 
 
-def pair_record(matches: DataFrame, map_results: DataFrame) -> DataFrame:
+def pair_rows(matches: DataFrame, map_results: DataFrame) -> DataFrame:
+    """One row per match under its pair, with the maps won by either side."""
     card = series_card(matches, map_results).withColumn("_a_first", F.col("team_a") < F.col("team_b"))
     maps_1 = F.when(F.col("_a_first"), F.col("maps_a")).otherwise(F.col("maps_b"))
     maps_2 = F.when(F.col("_a_first"), F.col("maps_b")).otherwise(F.col("maps_a"))
+    return card.select(
+        *canonical_pair(), "winner", "match_date", maps_1.alias("m1"), maps_2.alias("m2")
+    )
+
+
+def pair_record(matches: DataFrame, map_results: DataFrame) -> DataFrame:
     return (
-        card.select(
-            *canonical_pair(), "winner", "match_date", maps_1.alias("m1"), maps_2.alias("m2")
-        )
+        pair_rows(matches, map_results)
         .groupBy("team_1", "team_2")
         .agg(
             n_rows().alias("meetings"),
@@ -163,7 +168,7 @@ def pair_record(matches: DataFrame, map_results: DataFrame) -> DataFrame:
     )
 
 
-def _pair_maps(matches: DataFrame, map_results: DataFrame) -> DataFrame:
+def pair_maps(matches: DataFrame, map_results: DataFrame) -> DataFrame:
     return map_facts(matches, map_results).select(
         *canonical_pair(), "mode", "map_name", "map_winner", "match_date"
     )
@@ -179,13 +184,13 @@ def _pair_map_aggs() -> list[Column]:
 
 
 def pair_mode(matches: DataFrame, map_results: DataFrame) -> DataFrame:
-    return _pair_maps(matches, map_results).groupBy("team_1", "team_2", "mode").agg(
+    return pair_maps(matches, map_results).groupBy("team_1", "team_2", "mode").agg(
         *_pair_map_aggs()
     )
 
 
 def pair_map_mode(matches: DataFrame, map_results: DataFrame) -> DataFrame:
-    return _pair_maps(matches, map_results).groupBy(
+    return pair_maps(matches, map_results).groupBy(
         "team_1", "team_2", "map_name", "mode"
     ).agg(*_pair_map_aggs())
 
@@ -233,10 +238,13 @@ def _player_aggs(count_name: str) -> list[Column]:
     ]
 
 
+def dated_players(player_match_stats: DataFrame, matches: DataFrame) -> DataFrame:
+    return player_match_stats.join(matches.select("match_id", "match_date"), "match_id", "left")
+
+
 def player_overall(player_match_stats: DataFrame, matches: DataFrame) -> DataFrame:
     """Career figures; the team is the one of the latest match."""
-    dated = player_match_stats.join(matches.select("match_id", "match_date"), "match_id", "left")
-    return dated.groupBy("player_name").agg(
+    return dated_players(player_match_stats, matches).groupBy("player_name").agg(
         F.max_by("team", F.struct("match_date", "match_id")).alias("current_team"),
         *_player_aggs("total_matches"),
     )

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -58,43 +60,106 @@ def staged(df: DataFrame, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def read_or_none(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """The table at a path, or None where nothing has been written yet."""
+    try:
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 class VersionedTable:
-    """A table whose writes go to a new folder and become visible when complete."""
+    """A table that is always rewritten whole: a write goes to a new folder and becomes visible
+    when its number is in the list of versions, which is written last. One writer at a time."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _versions(self) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        found = []
-        for status in fs.listStatus(path):
-            name = status.getPath().getName()
-            done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/_SUCCESS")
-            if name.startswith("v=") and fs.exists(done):
-                found.append(int(name[2:]))
-        return sorted(found)
+    def version(self) -> int:
+        """Number of the newest complete version, 0 where there is none."""
+        listed = read_or_none(self.spark, f"{self.root}/versions", "done boolean, v long")
+        return 0 if listed is None else listed.agg(F.max("v")).first()[0] or 0
 
     def exists(self) -> bool:
-        return bool(self._versions())
+        return self.version() > 0
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/v={self._versions()[-1]}")
+        return self.spark.read.parquet(f"{self.root}/data/v={self.version()}")
 
     def write(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-        version = (self._versions() or [0])[-1] + 1
+        version = self.version() + 1
         writer = df.write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(f"{self.root}/v={version}")
+        writer.parquet(f"{self.root}/data/v={version}")
+        done = self.spark.createDataFrame([(True,)], "done boolean").coalesce(1)
+        done.write.mode("overwrite").parquet(f"{self.root}/versions/v={version}")
         return self.read()
 
-    def upsert(self, delta: DataFrame, keys: list[str], order: list[str]):
-        if not self.exists():
-            return self.write(keep_last(delta, keys, order))
-        return self.write(upsert(self.read(), delta, keys, order))
+
+class KeyedTable:
+    """Rows by key in hash buckets; a batch writes new copies of the buckets that it touches.
+
+    ``data/bucket=b/v=n`` is bucket b after batch n. ``manifest/v=n`` lists the buckets of batch n
+    and is written after them, so readers see a batch whole or not at all. A batch starts from
+    the copies before it: run again after a lost driver, it writes the same folders once more.
+    Batch numbers grow and there is one writer at a time. The manifest is read on the driver, one
+    number per bucket. ``buckets`` is fixed for the life of a table; choose it so that a bucket fits
+    in a task. Superseded copies stay until the table is written anew elsewhere.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], schema: str, buckets: int = 64):
+        self.spark, self.root, self.keys = spark, root.rstrip("/"), keys
+        self.schema, self.buckets = schema, buckets
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def newest(self, before: int | None = None) -> dict[int, int]:
+        """bucket -> the batch that wrote its newest copy, of all batches or of those before one."""
+        listed = read_or_none(self.spark, f"{self.root}/manifest", "bucket int, v long")
+        if listed is None:
+            return {}
+        if before is not None:
+            listed = listed.filter(F.col("v") < before)
+        return dict(listed.groupBy("bucket").agg(F.max("v")).collect())
+
+    def read(self, before: int | None = None, only: list[int] | None = None) -> DataFrame:
+        """Current rows, or those before a batch; only the folders of the copies named are scanned."""
+        copies = [f"{b}/{v}" for b, v in self.newest(before).items() if only is None or b in only]
+        kinds = f"{self.schema}, bucket int, v long"
+        stored = read_or_none(self.spark, f"{self.root}/data", kinds) if copies else None
+        if stored is None:
+            return self.spark.createDataFrame([], self.schema)
+        return stored.filter(F.concat_ws("/", "bucket", "v").isin(copies)).drop("bucket", "v")
+
+    def apply(
+        self, delta: DataFrame, batch: int, combine: Callable[[DataFrame, DataFrame], DataFrame]
+    ) -> list[int]:
+        """Write ``combine(rows of the touched buckets, delta)`` and return the touched buckets.
+
+        ``delta`` is read more than once: give it a table.
+        """
+        touched = sorted(r[0] for r in delta.select(self.bucket()).distinct().collect())
+        if not touched:
+            return touched
+        rows = combine(self.read(batch, touched), delta)
+        names = self.spark.createDataFrame([], self.schema).columns
+        (
+            rows.select(*names, self.bucket().alias("bucket"), F.lit(batch).cast("long").alias("v"))
+            .repartition("bucket")
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("bucket", "v").parquet(f"{self.root}/data")
+        )
+        listed = self.spark.createDataFrame([(b,) for b in touched], "bucket int").coalesce(1)
+        listed.write.mode("overwrite").parquet(f"{self.root}/manifest/v={batch}")
+        return touched
+
+    def upsert(self, delta: DataFrame, order: list[str], batch: int) -> list[int]:
+        """Rows of ``delta`` replace stored rows of the same key; of several the last in ``order``."""
+        return self.apply(delta, batch, lambda old, new: upsert(old, new, self.keys, order))
 
 
 # ---- prediction log ---------------------------------------------------------

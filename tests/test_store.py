@@ -2,7 +2,15 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from matchlake.sources.store import VersionedTable, keep_last, record_results, save_predictions, staged, upsert
+from matchlake.sources.store import (
+    KeyedTable,
+    VersionedTable,
+    keep_last,
+    record_results,
+    save_predictions,
+    staged,
+    upsert,
+)
 
 
 def test_upsert_is_idempotent(spark):
@@ -24,13 +32,38 @@ def test_keep_last_drops_copies_before_the_shuffle(spark):
 def test_versions_and_staging(spark, tmp_path):
     table = VersionedTable(spark, str(tmp_path / "t"))
     assert not table.exists()
-    table.upsert(spark.createDataFrame([(1, "a")], "k int, v string"), ["k"], ["v"])
-    table.upsert(spark.createDataFrame([(1, "b"), (2, "c"), (2, "b")], "k int, v string"), ["k"], ["v"])
-    assert {tuple(r) for r in table.read().collect()} == {(1, "b"), (2, "c")}
+    table.write(spark.createDataFrame([(1, "a")], "k int, v string"))
+    table.write(table.read().union(spark.createDataFrame([(2, "c")], "k int, v string")))
+    assert {tuple(r) for r in table.read().collect()} == {(1, "a"), (2, "c")} and table.version() == 2
     df = staged(spark.range(5))
     assert df.count() == 5 and "Range" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_keyed_table_rewrites_touched_buckets_only(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), ["k"], "k bigint, x bigint", buckets=8)
+    assert table.read().count() == 0 and table.newest() == {}
+    table.upsert(spark.range(100).select(F.col("id").alias("k"), F.lit(0).cast("long").alias("x")), ["x"], 1)
+    assert len(table.newest()) == 8
+    change = spark.createDataFrame([(7, 1), (7, 5), (7, 3)], "k bigint, x bigint")
+    touched = table.upsert(change, ["x"], 2)
+    assert len(touched) == 1 and sum(v == 2 for v in table.newest().values()) == 1
+    folders = {p.parent.name for p in (tmp_path / "t" / "data").glob("bucket=*/v=2")}
+    assert folders == {f"bucket={touched[0]}"}
+    want = {(k, 5 if k == 7 else 0) for k in range(100)}
+    assert {tuple(r) for r in table.read().collect()} == want
+    assert table.upsert(change, ["x"], 2) == touched  # run again
+    assert {tuple(r) for r in table.read().collect()} == want
+    assert {tuple(r) for r in table.read(before=2).collect()} == {(k, 0) for k in range(100)}
+    assert table.upsert(change.limit(0), ["x"], 3) == [] and table.read().count() == 100
+    # a batch without its line in the manifest is not seen
+    spark.createDataFrame([(7, 9)], "k bigint, x bigint").write.parquet(
+        str(tmp_path / "t" / "data" / f"bucket={touched[0]}" / "v=9"))
+    assert {tuple(r) for r in table.read().collect()} == want
+    # all rows of a bucket gone
+    table.apply(change, 4, lambda old, new: old.filter("false"))
+    assert table.read().filter("k = 7").count() == 0 and 4 in table.newest().values()
+
+
 def test_prediction_log(spark, tables):
     from registry.models import _log
 
