@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from matchlake.functions import dates as D
@@ -13,9 +15,10 @@ from matchlake.plans import catalog
 from matchlake.sources import documents as docs
 from matchlake.sources import pages as pg
 from matchlake.sources.fixtures import table
-from matchlake.sources.store import keep_last, upsert
+from matchlake.sources.store import KeyedTable, keep_last, staged, staging_folder, upsert
+from matchlake.streaming.ingest import MatchStore, start_ingest
 from registry.base_sql import div, rnd, sql
-from registry.catalogue import long, query, r6
+from registry.catalogue import REGISTRY, long, query, r6
 
 MAP_AGGS = f"""CAST(SUM(won) AS BIGINT) AS wins, CAST(COUNT(*) - SUM(won) AS BIGINT) AS losses,
   {rnd(div('SUM(won)', 'COUNT(*)', times='100.0'))} AS win_rate,
@@ -507,6 +510,51 @@ def _(t):
     return docs.document_names(t.matches, _aliases(t))
 
 
+# ---- streams ----------------------------------------------------------------
+
+
+def _streamed(t) -> MatchStore:
+    """Two availableNow runs: all documents, a seventh of them wrong, then the right copies of those."""
+    root = f"{staging_folder(t.spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    right = staged(_documents(t))
+    again = F.col("match_info.match_id").cast("long") % 7 == 0
+    info = F.col("match_info")
+    wrong = info.withField("team_b", F.lit("Wrong")).withField("team_a_score", info["team_b_score"])
+    copies = [right.withColumn("match_info", F.when(again, wrong).otherwise(info)), right.filter(again)]
+    for run, documents in enumerate(copies):
+        documents.write.json(f"{root}/in/{run}")
+        stream = start_ingest(t.spark, f"{root}/in", f"{root}/store", f"{root}/progress", multi_line=False, buckets=8)
+        stream.awaitTermination()
+    return MatchStore(t.spark, f"{root}/store", buckets=8)
+
+
+@query("streamed_team_stats", REGISTRY["team_record"][1])
+def _(t):
+    return r6(_streamed(t).rollup("team_stats"))
+
+
+@query("streamed_head_to_head", REGISTRY["pair_record"][1])
+def _(t):
+    return _streamed(t).rollup("head_to_head")
+
+
+@query("streamed_player_stats", REGISTRY["player_overall"][1])
+def _(t):
+    return r6(_streamed(t).rollup("player_stats"))
+
+
+@query("keyed_table_merge", sql("""SELECT match_id, winner, CASE WHEN match_id % 7 = 0 THEN 'Second copy' ELSE tournament END
+  AS tournament FROM fx_matches"""))
+def _(t):
+    table = KeyedTable(t.spark, f"{staging_folder(t.spark).rstrip('/')}/keyed-{uuid.uuid4().hex}", ["match_id"],
+                       "match_id bigint, winner string, tournament string", buckets=8)
+    first = staged(t.matches.select("match_id", "winner", "tournament"))
+    table.upsert(first, ["tournament"], 1)
+    second = first.filter("match_id % 7 = 0").withColumn("tournament", F.lit("Second copy"))
+    table.upsert(second, ["tournament"], 2)
+    return table.read()
+
+
 # ---- pages ------------------------------------------------------------------
 
 
