@@ -11,7 +11,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from matchlake.operators.ratings import RATED_SCHEMA, LeagueRatings, fold_batch
 from matchlake.params import DEFAULTS, ModelParams
 
-STREAM_SCHEMA = f"{RATED_SCHEMA}, status string"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -22,14 +21,14 @@ class RatingProcessor(StatefulProcessor):
     played cannot be inserted afterwards: it goes out with status ``late`` for a rebuild.
     """
 
-    def __init__(self, p: ModelParams = DEFAULTS):
-        self.p = p
+    def __init__(self, p: ModelParams = DEFAULTS, id_type: str = "bigint"):
+        self.p, self.id_type = p, id_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.board = handle.getMapState(
             "board", "team string, roster_key string", "rating double, matches int, day date"
         )
-        self.last = handle.getValueState("last", "day date, match_id long")
+        self.last = handle.getValueState("last", f"day date, match_id {self.id_type}")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values):
         frames = list(rows)
@@ -57,7 +56,8 @@ class RatingProcessor(StatefulProcessor):
             self.board.updateValue(team_key, (float(rating), int(matches), day))
         if len(batch):
             end = batch.iloc[-1]
-            self.last.update((end["match_date"], int(end["match_id"])))
+            number = str if self.id_type == "string" else int  # the state takes no numpy numbers
+            self.last.update((end["match_date"], number(end["match_id"])))
         yield out
         if len(late):
             rest = late[["league_id", "match_id", "match_date", "team_a", "team_b",
@@ -70,10 +70,15 @@ class RatingProcessor(StatefulProcessor):
 
 
 def stream_ratings(rows: DataFrame, p: ModelParams = DEFAULTS) -> DataFrame:
-    """Rated matches of a stream of rating input rows (see ``rating_input``)."""
+    """Rated matches of a stream of rating input rows (see ``rating_input``).
+
+    Ids keep the type of the input: numbers, or the text ids of documents.
+    """
+    id_type = dict(rows.dtypes)["match_id"]
+    rated = RATED_SCHEMA.replace("match_id long", f"match_id {id_type}")
     return rows.groupBy("league_id").transformWithStateInPandas(
-        statefulProcessor=RatingProcessor(p),
-        outputStructType=STREAM_SCHEMA,
+        statefulProcessor=RatingProcessor(p, id_type),
+        outputStructType=f"{rated}, status string",
         outputMode="Append",
         timeMode="None",
     )

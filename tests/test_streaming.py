@@ -141,3 +141,24 @@ def test_streamed_ratings_equal_batch(spark, tables, tmp_path):
     assert left == right
     assert [r.match_id for r in out.filter("status = 'late'").collect()] == [-1]
     assert isinstance(data["match_date"].iloc[0], dt.date)
+
+
+def test_streamed_ratings_keep_text_ids(spark, tables, tmp_path):
+    league = tables.matches.filter("league_id = 3").withColumn("match_id", F.concat(F.lit("m-"), "match_id"))
+    players = tables.player_match_stats.withColumn("match_id", F.concat(F.lit("m-"), "match_id"))
+    E.rating_input(league, players).coalesce(1).write.parquet(str(tmp_path / "rows"))
+    schema = E.rating_input(league, players).schema
+    for _ in range(2):  # the second run finds nothing new and starts from the stored state
+        q = (
+            stream_ratings(spark.readStream.schema(schema).parquet(str(tmp_path / "rows"))).writeStream
+            .format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "cp"))
+            .option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        )
+        q.awaitTermination(300)
+        assert q.exception() is None
+    got = spark.read.parquet(str(tmp_path / "out"))
+    want = E.rating_history(league, players)
+    assert got.schema["match_id"].dataType.simpleString() == "string" and got.filter("status = 'late'").count() == 0
+    columns = ["match_id", "key_a", F.round("after_a", 6), F.round("after_b", 6)]
+    assert sorted(map(repr, got.select(*columns).collect())) == sorted(map(repr, want.select(*columns).collect()))
+    assert got.count() > 0
