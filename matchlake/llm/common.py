@@ -19,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, wish: str) -> str:
+    """``wish``, with underscores added until no column of ``df`` has that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
 #: Rows that are Python objects at the same time; Arrow batches may be larger.
 ROWS_AT_ONCE = 1000
 

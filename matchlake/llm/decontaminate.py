@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchlake.llm.common import free_name
+
 WINDOW = 10
 #: The benchmark's windows are broadcast only up to this size; beyond it the join is left to Spark.
 BROADCAST_BYTES = 64 << 20
@@ -112,10 +114,11 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, size: int =
     """Documents without any word inside a test window; columns as they were.
 
     The removed rows are those with a window of their own text in the benchmark, so rows that
-    share an id are judged by their text.
+    share an id are judged by their text. Further columns may have any name.
     """
+    bad_id, bad_text = free_name(documents, "_bad_id"), free_name(documents, "_bad")
     bad = find_hits(documents, benchmark, size).filter("n_hit > 0").select(
-        F.col("doc_id").alias("_bad_id"), F.col("digest").alias("_bad")
+        F.col("doc_id").alias(bad_id), F.col("digest").alias(bad_text)
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad"))
+    same = F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.xxhash64("text") == F.col(bad_text))
     return documents.join(bad.hint("merge"), same, "left_anti")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import by_batch, staged
+from matchlake.llm.common import by_batch, free_name, staged
 
 WORDS, SIMILARITY = 5, 0.8
 TREES, DEPTH = 16, 5
@@ -301,14 +301,16 @@ def keep_one(documents: DataFrame) -> DataFrame:
     """One document of each group, the one with the smallest id, with its columns.
 
     Groups are told apart by their texts, so documents without an id or with one id stay if they are unrelated.
+    Further columns may have any name.
     """
+    kept_id, kept_text = free_name(documents, "_kept_id"), free_name(documents, "_kept_text")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("_kept")
     kept = grouped(documents).groupBy("_group").agg(first).select(
-        F.col("_kept.doc_id").alias("_kept_id"), F.col("_kept.digest").alias("_kept_text")
+        F.col("_kept.doc_id").alias(kept_id), F.col("_kept.digest").alias(kept_text)
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.xxhash64("text") == F.col("_kept_text"))
+    same = F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.xxhash64("text") == F.col(kept_text))
     columns = [documents[c] for c in documents.columns]
     return (
-        documents.join(kept.hint("merge"), same, "left_semi").select(*columns, F.xxhash64("text").alias("_kept_text"))
-        .dropDuplicates(["doc_id", "_kept_text"]).drop("_kept_text")
+        documents.join(kept.hint("merge"), same, "left_semi").select(*columns, F.xxhash64("text").alias(kept_text))
+        .dropDuplicates(["doc_id", kept_text]).drop(kept_text)
     )

@@ -17,7 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import by_batch, held_out, staged
+from matchlake.llm.common import by_batch, free_name, held_out, staged
 from matchlake.llm.quality_rules import Text
 
 KEEP_FROM = 0.5
@@ -75,7 +75,7 @@ def fit(features_of: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS)
     )
     rows = staged(
         features_of.join(F.broadcast(good), F.col("_id") == F.col("_label_id"))
-        .select("label", "_x").repartition(4, F.xxhash64("_x"))
+        .select("_id", "label", "_x").repartition(4, "_id")
     )
     classes = [r[0] for r in rows.select("label").distinct().limit(2).collect()]
     if len(classes) < 2:
@@ -149,9 +149,13 @@ def classify(documents: DataFrame, labels: DataFrame, keep_from: float = KEEP_FR
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
-    """Documents that the classifier keeps, with their columns; rows of one id are judged by their text."""
+    """Documents that the classifier keeps, with their columns; rows of one id are judged by their text.
+
+    Further columns may have any name: those of the verdict are chosen free of them.
+    """
+    bad_id, bad_text = free_name(documents, "_bad_id"), free_name(documents, "_bad")
     bad = classify(documents, labels, keep_from).filter(~F.col("kept")).select(
-        F.col("doc_id").alias("_bad_id"), F.col("digest").alias("_bad")
+        F.col("doc_id").alias(bad_id), F.col("digest").alias(bad_text)
     ).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad"))
+    same = F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.xxhash64("text") == F.col(bad_text))
     return documents.join(bad.hint("merge"), same, "left_anti")

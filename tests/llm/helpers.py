@@ -2,14 +2,15 @@
 
 import random
 
-CLASH = "_id string, _digest string, _text string, _key int, _at int, _n int, bucket int, marks string, score double, kept string"
+CLASH = "_id string, _digest string, _text string, _key int, _at int, _n int, bucket int, marks string, score double, kept string, " \
+    "_bad string, _BAD_ID string, _kept string, _kept_id string, _kept_text string, _drop string, _drop_id string, _group string"
 
 
 def documents(spark, rows, clash=True):
     """Rows (doc_id, text[, source]) as a documents table, with further columns of clashing names."""
     full = [(i, t, "en", (s or ["src0"])[0], None if t is None else len(t)) for i, t, *s in rows]
     if clash:
-        full = [(*r, "x", "y", "z", 1, 2, 3, 4, "m", 0.5, "k") for r in full]
+        full = [(*r, "x", "y", "z", 1, 2, 3, 4, "m", 0.5, "k", *"abcdefgh") for r in full]
     return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long" + (f", {CLASH}" if clash else ""))
 
 
