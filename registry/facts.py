@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from matchlake.functions import dates as D
+from matchlake.functions.scalar import rounded, signed
 from matchlake.operators import history as H
 from matchlake.operators import perspective as P
 from matchlake.operators import quality as Q
@@ -673,6 +674,112 @@ def _(t):
     return pg.payload_totals(pg.payload_players(_match_pages(t)))
 
 
+def _page_of(rows, line):
+    """A page per match of the lines of its rows, in the order of (map, side, player)."""
+    parts = F.sort_array(F.collect_list(F.struct("map_number", "_place", line.alias("h"))))
+    return rows.groupBy(F.col("match_id").alias("page_id")).agg(
+        F.array_join(F.transform(parts, lambda x: x["h"]), "").alias("html")
+    )
+
+
+def _score(t):
+    """Scores in the range of their mode, so that older layouts take them."""
+    respawn = F.col("mode") == "Hardpoint"
+    a, b = (F.when(respawn, F.col(c) + 100).otherwise(F.col(c) % 6) for c in ("team_a_score", "team_b_score"))
+    mode = F.when(F.col("mode") == "Overload", "Control").otherwise(F.col("mode"))
+    return t.map_results.select("match_id", "map_number", F.lit(0).alias("_place"), mode.alias("mode"), a.alias("a"), b.alias("b"))
+
+
+OLD_MAPS = """SELECT match_id, map_number, CASE WHEN mode = 'Overload' THEN 'Control' ELSE mode END AS mode,
+  CAST(CASE WHEN mode = 'Hardpoint' THEN team_a_score + 100 ELSE team_a_score % 6 END AS INT) AS a,
+  CAST(CASE WHEN mode = 'Hardpoint' THEN team_b_score + 100 ELSE team_b_score % 6 END AS INT) AS b FROM fx_map_results"""
+
+
+@query("match_page_maps_spaced", sql(f"""SELECT DISTINCT match_id AS page_id, mode, CONCAT('Map', CAST(map_number AS VARCHAR)) AS map_name,
+  a AS team_a_score, b AS team_b_score FROM ({OLD_MAPS})"""))
+def _(t):
+    name = F.concat(F.lit("Map"), F.col("map_number"))
+    mode = F.replace("mode", F.lit("&"), F.lit("&amp;"))
+    line = F.concat(F.lit("<p>"), mode, F.lit(" "), name, F.lit(" "), F.col("a"), F.lit(" - "), F.col("b"), F.lit("</p>\n"))
+    return pg.page_maps(_page_of(_score(t), line), "spaced").drop("map_number")
+
+
+@query("match_page_maps_lines", sql(f"""SELECT DISTINCT match_id AS page_id, mode,
+  CASE WHEN map_number % 3 = 0 THEN 'Unknown' WHEN map_number % 3 = 1 THEN 'Vault' ELSE 'Den' END AS map_name,
+  a AS team_a_score, b AS team_b_score FROM ({OLD_MAPS})"""))
+def _(t):
+    third = F.col("map_number") % 3
+    name = F.when(third == 0, "elsewhere").when(third == 1, "the vault").otherwise("DEN")
+    mode = F.replace("mode", F.lit("&"), F.lit("&amp;"))
+    line = F.concat(F.lit("<p>"), mode, F.lit("</p>\n"), name, F.lit("\n<b>"), F.col("a"), F.lit(" - "), F.col("b"), F.lit("</b>\n"))
+    return pg.page_maps(_page_of(_score(t), line), "lines").drop("map_number")
+
+
+def _figures(t):
+    """Per-map player rows with their place on a page and the cells of their figures as text."""
+    series = t.matches.select("match_id", F.col("team_a").alias("first_team"))
+    side = F.when(F.col("team") == F.col("first_team"), 0).otherwise(1)
+    kd = F.when(F.col("deaths") > 0, F.col("kills").cast("double") / F.col("deaths")).otherwise(F.col("kills").cast("double"))
+    cells = [F.col("kills"), F.col("deaths"), rounded(kd, 2), signed(F.col("kills") - F.col("deaths")),
+             F.format_number("damage", 0), F.col("rating")]
+    return t.player_map_stats.join(series, "match_id").withColumn("_place", F.struct(side.alias("s"), "player_name")), cells
+
+
+def _table_pages(t):
+    rows, cells = _figures(t)
+    respawn = F.col("mode") == "Hardpoint"
+    name = F.when(respawn, F.concat(F.lit('<p class="x mantine-Text-root">'), F.col("player_name"), F.lit("</p><p>sub</p>"))
+                  ).otherwise(F.concat(F.lit("<b>"), F.col("player_name"), F.lit("</b>")))
+    more = F.when(respawn, F.lit("<td>7</td>")).otherwise(F.lit(""))
+    tds = [F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in (name, *cells)]
+    player = F.concat(F.lit('<tr class="GameOverview_tr__1">'), *tds[:-1], more, tds[-1], F.lit("</tr>\n"))
+    first = F.lit("")  # sorts before all players
+    heads = t.map_results.select("match_id", "map_number", F.struct(F.lit(-1).alias("s"), first.alias("player_name")).alias("_place"),
+                                 F.lit('<tr class="GameOverview_tr__1"><th>Player</th><th>K</th></tr>\n').alias("line"))
+    every = rows.select("match_id", "map_number", "_place", player.alias("line")).unionByName(heads)
+    return _page_of(every, F.col("line"))
+
+
+SIGNED = "CASE WHEN kills > deaths THEN CONCAT('+', CAST(kills - deaths AS VARCHAR)) ELSE CAST(kills - deaths AS VARCHAR) END"
+
+
+@query("match_page_table_players", sql(f"""SELECT match_id AS page_id, map_number, player_name,
+  CASE WHEN team = team_a THEN 'team_a' ELSE 'team_b' END AS team, kills, deaths, {rnd('kd', 2)} AS kd,
+  {SIGNED} AS plus_minus, damage, {rnd('rating')} AS rating
+FROM fx_player_map_stats JOIN (SELECT match_id, team_a FROM fx_matches) USING (match_id)"""))
+def _(t):
+    return r6(pg.table_players(_table_pages(t)).drop("pos"))
+
+
+@query("match_page_table_totals", sql(f"""SELECT s.match_id AS page_id, s.player_name, s.team, s.kills, s.deaths, s.kd, f.plus_minus,
+  s.damage, s.rating FROM (SELECT match_id, player_name, CASE WHEN team = team_a THEN 'team_a' ELSE 'team_b' END AS team,
+    CAST(SUM(kills) AS BIGINT) AS kills, CAST(SUM(deaths) AS BIGINT) AS deaths,
+    CASE WHEN SUM(deaths) > 0 THEN {rnd('SUM(kills) / CAST(SUM(deaths) AS DOUBLE)', 2)} ELSE 0.0 END AS kd,
+    CAST(SUM(damage) AS BIGINT) AS damage, {rnd('AVG(rating)', 2)} AS rating
+  FROM fx_player_map_stats JOIN (SELECT match_id, team_a FROM fx_matches) USING (match_id) GROUP BY match_id, player_name, team, team_a) s
+JOIN (SELECT match_id, player_name, {SIGNED} AS plus_minus FROM fx_player_map_stats WHERE map_number = 1) f
+  ON f.match_id = s.match_id AND f.player_name = s.player_name"""))
+def _(t):
+    return pg.table_totals(pg.table_players(_table_pages(t)))
+
+
+@query("match_page_older_players", sql(f"""SELECT match_id AS page_id, CAST(kills AS INT) AS kills, CAST(deaths AS INT) AS deaths,
+  CASE WHEN match_id % 2 = 0 THEN player_name ELSE REPLACE(player_name, '-', '') END AS player_name,
+  {rnd('kd', 2)} AS kd, {SIGNED} AS plus_minus, CAST(damage AS INT) AS damage, {rnd('rating')} AS rating,
+  CASE WHEN match_id % 2 = 0 THEN CASE WHEN rn % 2 = 1 THEN 'team_a' ELSE 'team_b' END
+    WHEN rn <= 4 THEN 'team_a' ELSE 'team_b' END AS team
+FROM (SELECT p.*, ROW_NUMBER() OVER (PARTITION BY p.match_id ORDER BY p.map_number,
+    CASE WHEN p.team = m.team_a THEN 0 ELSE 1 END, p.player_name) AS rn
+  FROM fx_player_map_stats p JOIN fx_matches m ON m.match_id = p.match_id)"""))
+def _(t):
+    rows, cells = _figures(t)
+    tabled = F.col("match_id") % 2 == 0
+    table = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in (F.col("player_name"), *cells)], F.lit("</tr>\n"))
+    piped = F.concat(F.concat_ws(" | ", F.replace("player_name", F.lit("-"), F.lit("")), *cells), F.lit("\n"))
+    pages = _page_of(rows, F.when(tabled, table).otherwise(piped))
+    return r6(pg.older_players(pages).drop("pos"))
+
+
 # ---- rosters and ordered windows --------------------------------------------
 
 
