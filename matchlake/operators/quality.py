@@ -129,3 +129,81 @@ def dq_report(
     for more in findings[1:]:
         report = report.unionByName(more)
     return report
+
+
+SIDES = ("team_a", "team_b")
+FOUND = "array<struct<rule:string,detail:string>>"
+
+
+def document_findings(documents: DataFrame, limit: int = 100) -> DataFrame:
+    """(rule, key, detail) of every document by itself, in one pass over the documents.
+
+    The rules are those of ``dq_report`` over the lists of a document: level maps, dates, sides,
+    positions and the series score; one more row of rule ``copy`` stands for the document itself.
+    Missing lists have no findings; a document without a date has an invalid one.
+    """
+    info = F.col("match_info")
+    rows = F.col("player_stats")["per_map"]
+
+    def found(rule, *detail, sep=" "):
+        return F.struct(F.lit(rule).alias("rule"), F.concat_ws(sep, *detail).alias("detail"))
+
+    def of_map(rule):
+        every = F.filter(F.transform("map_results", rule), lambda x: x.isNotNull())
+        return F.coalesce(every, F.array().cast(FOUND))
+
+    def level(m, i):
+        a = m["team_a_score"]
+        return F.when(a == m["team_b_score"], found("level_map", i + 1, m["mode"], a))
+
+    def position(m, i):
+        kills = F.aggregate(
+            F.filter(rows, lambda r: r["map_number"] == i + 1),
+            F.lit(None).cast("long"),
+            lambda acc, r: F.coalesce(acc + r["kills"], r["kills"].cast("long"), acc),
+        )
+        rounds = m["mode"] == "Search & Destroy"
+        odd = (rounds & (kills > limit)) | (~rounds & (kills <= limit))
+        return F.when(odd, found("position", i + 1, m["mode"], kills))
+
+    def wins(first, second):
+        return F.size(F.filter("map_results", lambda m: m[first] > m[second]))
+
+    unresolved = F.transform(
+        F.filter(rows, lambda r: ~F.coalesce(r["team"].isin(*SIDES), F.lit(False))),
+        lambda r: found("side", r["map_number"], r["player_name"]),
+    )
+    a, b = wins("team_a_score", "team_b_score"), wins("team_b_score", "team_a_score")
+    differs = (info["team_a_score"] != a) | (info["team_b_score"] != b)
+    reason = date_repair_reason(info["date"])
+    none = F.array().cast(FOUND)
+    every = F.concat(
+        of_map(level),
+        of_map(position),
+        F.coalesce(unresolved, none),
+        F.when(differs, F.array(found("series_score", a, b, sep="-"))).otherwise(none),
+        F.when(reason != "kept", F.array(found("date", reason, info["date"]))).otherwise(none),
+        F.array(found("copy")),
+    )
+    return documents.select(info["match_id"].alias("key"), F.explode(every).alias("f")).select(
+        "f.rule", "key", "f.detail"
+    )
+
+
+def document_report(documents: DataFrame) -> DataFrame:
+    """All six rules on documents as (rule, key, detail, n): one scan and one grouped pass.
+
+    Equal findings of several copies are one row with their number; the copies themselves are
+    counted in the same pass, and an id with more than one is a finding. A document without an id
+    is no copy of another.
+    """
+    counted = document_findings(documents).groupBy("rule", "key", "detail").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    copy = F.col("rule") == "copy"
+    return counted.filter(~copy | ((F.col("n") > 1) & F.col("key").isNotNull())).select(
+        F.when(copy, "duplicate_id").otherwise(F.col("rule")).alias("rule"),
+        "key",
+        F.when(copy, F.concat("n", F.lit(" copies"))).otherwise(F.col("detail")).alias("detail"),
+        "n",
+    )

@@ -511,6 +511,47 @@ def _(t):
     return docs.document_names(t.matches, _aliases(t))
 
 
+def _dirty_documents(t):
+    """The documents with wrong scores, swapped dates, unknown sides, and a second copy of some."""
+    number, info, stats = F.col("match_info.match_id").cast("long"), F.col("match_info"), F.col("player_stats")
+    day = info["date"]
+    swapped = F.concat_ws("-", F.substring(day, 1, 4), F.substring(day, 9, 2), F.substring(day, 6, 2))
+    per_map = F.transform(stats["per_map"], lambda r: F.when(
+        (number % 5 == 0) & F.endswith(r["player_name"], F.lit("-P1")), r.withField("team", F.lit("?"))).otherwise(r))
+    rows = _documents(t).select(
+        info.withField("date", F.when(number % 11 == 0, swapped).otherwise(day))
+        .withField("team_a_score", info["team_a_score"] + (number % 3 == 0).cast("int")).alias("match_info"),
+        "map_results",
+        stats.withField("per_map", per_map).alias("player_stats"),
+    )
+    copies = F.sequence(F.lit(1), F.when(F.col("match_info.match_id").cast("long") % 7 == 0, 2).otherwise(1))
+    return rows.withColumn("copy", F.explode(copies)).drop("copy")
+
+
+@query("dq_documents", sql("""SELECT f.rule, CAST(f.match_id AS VARCHAR) AS key, f.detail,
+  CAST(CASE WHEN f.match_id % 7 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n FROM (
+  SELECT 'duplicate_id' AS rule, match_id, '2 copies' AS detail FROM fx_matches WHERE match_id % 7 = 0
+  UNION ALL
+  SELECT 'level_map', match_id, CONCAT_WS(' ', CAST(map_number AS VARCHAR), mode, CAST(team_a_score AS VARCHAR))
+  FROM fx_map_results WHERE team_a_score = team_b_score
+  UNION ALL
+  SELECT 'position', match_id, CONCAT_WS(' ', CAST(map_number AS VARCHAR), mode, CAST(CAST(k AS BIGINT) AS VARCHAR))
+  FROM fx_map_results r JOIN (SELECT match_id, map_number, SUM(kills) AS k FROM fx_player_map_stats
+    GROUP BY match_id, map_number) p USING (match_id, map_number)
+  WHERE (mode = 'Search & Destroy' AND k > 100) OR (mode <> 'Search & Destroy' AND k <= 100)
+  UNION ALL
+  SELECT 'series_score', match_id, CONCAT_WS('-', CAST(team_a_score AS VARCHAR), CAST(team_b_score AS VARCHAR))
+  FROM fx_matches WHERE match_id % 3 = 0
+  UNION ALL
+  SELECT 'date', match_id, CONCAT_WS(' ', 'swapped', STRFTIME(match_date, '%Y-%d-%m'))
+  FROM fx_matches WHERE match_id % 11 = 0 AND DAY(match_date) > 12
+  UNION ALL
+  SELECT 'side', match_id, CONCAT_WS(' ', CAST(map_number AS VARCHAR), player_name)
+  FROM fx_player_map_stats WHERE match_id % 5 = 0 AND ENDS_WITH(player_name, '-P1')) f"""))
+def _(t):
+    return Q.document_report(_dirty_documents(t))
+
+
 # ---- streams ----------------------------------------------------------------
 
 
@@ -529,6 +570,28 @@ def _streamed(t) -> MatchStore:
     return MatchStore(t.spark, f"{root}/store", buckets=8)
 
 
+@query("streamed_tally", sql("""SELECT CASE WHEN match_id % 13 = 0 THEN 'not readable'
+    WHEN match_id % 5 = 0 THEN 'incomplete player stats: 3 vs 4' ELSE 'imported' END AS outcome,
+  CAST(COUNT(*) AS BIGINT) AS documents, CAST(COUNT(*) AS BIGINT) AS tallied FROM fx_matches GROUP BY 1"""))
+def _(t):
+    """Documents by outcome as the tables have them, with what the tally counted in the same pass."""
+    root = f"{staging_folder(t.spark).rstrip('/')}/tally-{uuid.uuid4().hex}"
+    number, stats = F.col("match_info.match_id").cast("long"), F.col("player_stats")
+    short = stats.withField("team_a", F.slice(stats["team_a"], 1, 3))
+    some = _documents(t).withColumn("player_stats", F.when(number % 5 == 0, short).otherwise(stats))
+    text = F.when(number % 13 == 0, F.lit('{"match_info": ')).otherwise(F.to_json(F.struct("*")))
+    some.select(text.alias("value")).write.text(f"{root}/in")
+    start_ingest(t.spark, f"{root}/in", f"{root}/store", f"{root}/progress", refresh=False, multi_line=False).awaitTermination()
+    store = MatchStore(t.spark, f"{root}/store")
+    tally = store.log("tally").groupBy("outcome").agg(F.sum("documents").alias("n"))
+    kept = store.fact("matches").select(F.lit("imported").alias("outcome"))
+    found = kept.union(store.log("rejected").select("reason")).groupBy("outcome").agg(F.count(F.lit(1)).alias("documents"))
+    kind = F.when(F.col("outcome") == "imported", "imported").otherwise("failed")
+    failed = found.groupBy(kind.alias("kind")).agg(F.sum("documents").alias("all"))
+    known = failed.join(tally, F.col("kind") == F.col("outcome")).select("kind", (F.col("n") - F.col("all")).alias("off"))
+    return found.join(known, kind == F.col("kind")).select("outcome", "documents", (F.col("documents") + F.col("off")).alias("tallied"))
+
+
 @query("streamed_team_stats", REGISTRY["team_record"][1])
 def _(t):
     return r6(_streamed(t).rollup("team_stats"))

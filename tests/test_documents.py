@@ -80,6 +80,38 @@ def test_newest_copy_and_findings(spark, tmp_path):
     assert (scored.team_a_score, scored.team_b_score) == (3, 0)
 
 
+def test_report_of_documents_agrees_with_that_of_the_tables(spark, tmp_path):
+    odd = document("8", scores=((250, 200), (6, 6), (5, 2), (250, 220)))
+    odd["player_stats"]["per_map"][0]["team"] = None
+    odd["match_info"]["date"] = "no date"
+    files = {"x.json": document("7"), "y.json": document("7"), "z.json": odd,
+             "none.json": {"match_info": {"match_id": None}, "map_results": None, "player_stats": None}}
+    every = docs.read_documents(spark, write(tmp_path, files))
+    got = {(r.rule, r.key, r.detail): r.n for r in Q.document_report(every).collect()}
+    assert got.pop(("duplicate_id", "7", "2 copies")) == 2
+    assert not any(rule == "duplicate_id" for rule, *_ in got)
+    assert {rule for rule, key, _ in got if key == "8"} >= {"level_map", "side", "date", "series_score"}
+    good, _ = docs.split_readable(every)
+    for match in ("7", "8"):
+        t = docs.shred(docs.current_documents(good.filter(F.col("match_info.match_id") == match), ["source_file"]))
+        level = {(r.rule, r.key, r.detail) for r in Q.level_maps(t["map_results"]).collect()}
+        assert level == {k for k in got if k[0] == "level_map" and k[1] == match}
+    assert all(n == (2 if key == "7" else 1) for (_, key, _), n in got.items())
+    assert Q.document_report(every.limit(0)).count() == 0
+
+
+def test_judged_documents_are_the_two_splits(spark, tmp_path):
+    files = {"a.json": document("1"), "b.json": document("2", names="abc"), "c.json": {"match_info": {"match_id": "3"}}}
+    path = write(tmp_path, files)
+    (tmp_path / "broken.json").write_text('{"match_info": ')
+    every = docs.read_documents(spark, str(tmp_path))
+    judged = {(r.source_file, r.reason) for r in docs.judged_documents(every).collect()}
+    good, bad = docs.split_readable(every)
+    ok, short = docs.complete_documents(good)
+    want = {(r.source_file, r.reason) for d in (bad, short) for r in d.select("source_file", "reason").collect()}
+    assert judged == want | {(r.source_file, None) for r in ok.collect()} and len(judged) == 4, path
+
+
 def test_names_round_trip_and_seeds(spark, tables, tmp_path):
     some = tables.matches.filter("league_id = 3")
     ids = some.select("match_id")

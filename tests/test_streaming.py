@@ -27,6 +27,19 @@ def ingest(spark, tmp_path):
     return MatchStore(spark, str(tmp_path / "store"))
 
 
+def test_a_batch_of_rejected_or_no_documents_has_its_tally(spark, tmp_path):
+    from matchlake.sources.documents import read_documents
+
+    (tmp_path / "short.json").write_text(json.dumps(document("9", names="abc")))
+    store = MatchStore(spark, str(tmp_path / "store"))
+    every = read_documents(spark, str(tmp_path))
+    load_batch(store, every, 1)
+    load_batch(store, every, 1)  # a repeated batch counts once
+    load_batch(store, every.limit(0), 2)
+    assert [(r.outcome, r.documents, r.batch) for r in store.log("tally").collect()] == [("failed", 1, 1)]
+    assert store.fact("matches").count() == 0 and store.log("rejected").count() == 1
+
+
 def test_ingest_and_refresh_of_touched_keys(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
