@@ -175,3 +175,28 @@ def test_streamed_ratings_keep_text_ids(spark, tables, tmp_path):
     columns = ["match_id", "key_a", F.round("after_a", 6), F.round("after_b", 6)]
     assert sorted(map(repr, got.select(*columns).collect())) == sorted(map(repr, want.select(*columns).collect()))
     assert got.count() > 0
+
+
+def test_a_first_delta_holds_only_the_entries_that_a_list_can_take(spark, tables):
+    from matchlake.streaming import states
+
+    new = {n: getattr(tables, n) for n in ("matches", "map_results", "player_match_stats", "player_map_stats")}
+    new = {n: df.withColumn("match_id", F.col("match_id").cast("string")) for n, df in new.items()}
+    spec = states.STATES["player_stats"]
+    change = states.delta(spec, new, None, keep=3).cache()
+    per_key = change.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("all"))
+    assert per_key.agg(F.max("n")).first()[0] == 5  # four entries, and one row for the events below them
+    assert per_key.agg(F.sum("all")).first()[0] == tables.player_match_stats.count()
+    empty = spark.createDataFrame([], spec.schema)
+    got = states.finished(spec, states.combine(spec, 3)(empty, change))
+    whole = states.finished(spec, states.combine(spec, 3)(empty, states.delta(spec, new, None, keep=10**6)))
+    assert got.exceptAll(whole).count() == 0 and got.count() == whole.count()
+
+
+def test_older_copies_tell_copies_of_one_file_apart(spark):
+    from matchlake.sources.documents import older_copies
+
+    rows = spark.createDataFrame([("a", 1, 0), ("a", 2, 1), ("a", 2, 2), ("b", 1, 3)], "id string, seq int, _row long")
+    documents = rows.select(F.struct(F.col("id").alias("match_id")).alias("match_info"), "seq", "_row")
+    left_out = {r[0] for r in older_copies(documents, ["seq"], "_row").collect()}
+    assert 0 in left_out and len(left_out) == 2 and 3 not in left_out
