@@ -34,7 +34,7 @@ from matchlake.llm.common import by_batch, staged
 LENGTH, K = 50, 24
 SPAN = LENGTH - K + 1
 #: Text bytes whose pieces share a bucket, pieces of one index, text bytes hashed at once.
-BUCKET_BYTES, INDEX_PIECES, CHUNK_BYTES = 8 << 20, 10_000, 2 << 20
+BUCKET_BYTES, INDEX_PIECES, CHUNK_BYTES = 8 << 20, 10_000, 256 << 10
 #: Entries (one per document and piece) of a bucket that are one Python group; about 0.6 million are usual.
 PART_ENTRIES = 1_500_000
 
@@ -72,7 +72,7 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 def pieces(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, start, strings, gram, key) of all pieces; start is inside the document.
 
-    ``gram`` is the hash of the deciding gram, ``key`` that of the piece's bytes. Texts beyond 16 MB are
+    ``gram`` is the hash of the deciding gram, ``key`` that of the piece's bytes. Texts beyond CHUNK_BYTES are
     hashed in parts that overlap, so a piece may be cut there, never a string.
     """
     parts: list[tuple[int, int, bytes]] = []
@@ -130,6 +130,19 @@ def piece_id(gram: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (((gram >> np.uint64(24)) << np.uint64(48)) | (key & np.uint64((1 << 48) - 1))).view(np.int64)
 
 
+def _refined(rank: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Ranks of values whose equals are told apart by ``by``; a rank is the place of the first of its equals."""
+    pair = (rank << 32) | by
+    o = np.argsort(pair)
+    pair = pair[o]
+    new = np.append(True, pair[1:] != pair[:-1])
+    old = np.append(True, pair[1:] >> 32 != pair[:-1] >> 32)
+    at, more = np.flatnonzero(new), np.cumsum(new) - 1
+    out = np.empty(len(rank), np.int64)
+    out[o] = (pair >> 32) + at[more] - np.flatnonzero(old)[np.cumsum(old) - 1]
+    return out
+
+
 class RunLengthIndex:
     """Run-compressed Burrows-Wheeler transform of a set of pieces, with samples at its runs.
 
@@ -143,30 +156,39 @@ class RunLengthIndex:
         grid = np.full((len(texts), width + 8), _END, np.uint8)
         for i, t in enumerate(texts):
             grid[i, : len(t)] = np.frombuffer(t, np.uint8)
-        column = np.arange(width)
-        inside = column[None, :] <= self.sizes[:, None]  # the end mark has a suffix too
-        position = np.full((len(texts), 2 * width + 256), -1, np.int64)
-        position[:, :width][inside] = np.arange(int(inside.sum()))
+        inside = np.arange(width + 8)[None, :] <= self.sizes[:, None]  # the end mark has a suffix too
         row, col = np.nonzero(inside)
-        word = np.zeros(len(row), np.uint64)
+        raw = grid.reshape(-1).astype(np.uint64)
+        words = np.zeros(raw.size - 7, np.uint64)
         for k in range(8):
-            word = (word << np.uint64(8)) | grid[row, col + k].astype(np.uint64)
-        rank = np.unique(word, return_inverse=True)[1].astype(np.int64)
+            words = (words << np.uint64(8)) | raw[k : raw.size - 7 + k]
+        words = words[np.flatnonzero(inside)]
+        o = np.argsort(words)
+        new = np.append(True, words[o][1:] != words[o][:-1])
+        rank = np.empty(len(words), np.int64)
+        rank[o] = np.flatnonzero(new)[np.cumsum(new) - 1]
+        # suffixes of a piece follow each other, so the one ``reach`` bytes on is that many places on
+        room = self.sizes[row] - col
         reach, at_half = 8, None
         while reach < width:
             if reach == 32:
-                at_half = rank
-            follow = position[row, col + reach]
-            pair = (rank << 32) | np.where(follow >= 0, rank[follow] + 1, 0)
-            rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
+                at_half = rank.copy()
+            shared = np.flatnonzero(np.bincount(rank, minlength=len(rank))[rank] > 1)  # the others have their place
+            if not len(shared):
+                break
+            inner = room[shared] >= reach
+            second = np.zeros(len(shared), np.int64)
+            second[inner] = rank[shared[inner] + reach] + 1
+            rank[shared] = _refined(rank[shared], second)
             reach *= 2
         order = np.argsort(rank, kind="stable")
         n = len(order)
         # suffix intervals that share LENGTH bytes: equal first 32 and equal 32 that end at LENGTH
         at_half = rank if at_half is None else at_half
-        tail = position[row, col + LENGTH - 32]
-        long = (self.sizes[row] - col) >= LENGTH
-        a, b = at_half[order], np.where(long, at_half[tail], -1)[order]
+        long = room >= LENGTH
+        tail = np.full(n, -1, np.int64)
+        tail[long] = at_half[np.flatnonzero(long) + LENGTH - 32]
+        a, b = at_half[order], tail[order]
         fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | ~long[order][1:])
         self.interval_start = np.flatnonzero(fresh)
         self.interval_low = np.minimum.reduceat(docs[row[order]], self.interval_start)

@@ -101,3 +101,23 @@ def test_hot_pieces_are_dealt_in_parts(spark, monkeypatch):
     dealt = S._with_parts(held[0])
     assert dealt.groupBy("bucket").agg(S.F.expr("sum(octet_length(packed)) / 11").alias("n")).agg({"n": "max"}).first()[0] > 2000
     assert dealt.groupBy("bucket", "_part").agg(S.F.expr("sum(octet_length(packed)) / 11").alias("n")).agg({"n": "max"}).first()[0] < 1000
+
+
+def test_hashing_holds_little():
+    import tracemalloc
+
+    r = random.Random(3)
+    texts = [r.randbytes(2000).replace(b"\xff", b"") for _ in range(1500)]
+    tracemalloc.start()
+    S.pieces(texts)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 60  # 191 with parts of 2 MB
+
+
+def test_places_in_an_index_are_those_of_sorted_suffixes():
+    r = random.Random(5)
+    some = sorted({bytes(r.choice(b"ab") for _ in range(r.randrange(50, 77))) for _ in range(40)} | {b"a" * n for n in range(50, 77)})
+    suffixes = sorted((t[k:] + b"\xff", d) for d, t in enumerate(some) for k in range(len(t) + 1))
+    ends = [i for i, (t, _) in enumerate(suffixes) if t == b"\xff"]
+    assert S.RunLengthIndex(some, np.arange(len(some))).end_place.tolist() == ends
