@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -33,13 +34,17 @@ SHORT_PENALTY = 16
 SHORTEST = 64
 #: Tokens that are packed together; the last sequence of a block may be padded.
 BLOCK_TOKENS = 2_000_000
-#: Chunks between white space whose ids a Python worker keeps.
-CACHE_CHUNKS = 600_000
+#: Chunks between white space, and their words, whose ids a Python worker keeps.
+CACHE_CHUNKS = 1_200_000
+#: Words of letters that the library encodes as one text.
+WORDS_AT_ONCE = 400
 #: The id after each document.
 END_ID = 1
 
 _WS = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[^{_WS}]+")
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SIGNS = ".,;:!?"
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -59,7 +64,6 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.last = np.zeros(len(self.ends), bool)
@@ -67,42 +71,50 @@ class Encoder:
             self.ends[i] = bool(re.search(r"[.!?]+(</w>)?$", token))
             self.last[i] = token.endswith("</w>")
 
-    def _learn_cores(self, words: list[str]) -> None:
+    def _learn_words(self, words: list[str]) -> None:
         """Ids of words of letters only, many per call: each is one pre-token and ends with ``</w>``."""
-        for low in range(0, len(words), 100):
-            part = words[low : low + 100]
+        for low in range(0, len(words), WORDS_AT_ONCE):
+            part = words[low : low + WORDS_AT_ONCE]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.last[ids]) + 1
             if len(stops) == len(part) and stops[-1] == len(ids):
                 raw, stops = ids.tobytes(), (4 * stops).tolist()
-                self.cores.update(zip(part, (raw[a:b] for a, b in zip([0, *stops], stops))))
+                self.known.update(zip(part, (raw[a:b] for a, b in zip([0, *stops], stops))))
             else:  # a letter that is several characters in lower case
-                self._learn_rest(part, self.cores)
+                self._learn_rest(part)
 
-    def _learn_rest(self, words: list[str], to: dict[str, bytes]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            to[w] = np.array(e.ids, "<u4").tobytes()
+    def _learn_rest(self, chunks: list[str]) -> None:
+        for c, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)):
+            ids = e.ids
+            self.known[c] = struct.pack(f"<{len(ids)}I", *ids)
 
     def _learn(self, chunks: set[str]) -> None:
-        whole, parts = [], []
-        cores = self.cores
+        """Chunks of letters and signs behind them are put together of both; words and signs are chunks too."""
+        known = self.known
+        words, rest, parts = set(), set(), []
         for c in chunks:
-            word = c.rstrip(".,;:!?")
+            word = c.rstrip(_SIGNS)
             if word.isalpha():
-                parts.append((c, word.lower() if word.isascii() else word, c[len(word) :]))
+                lower = word.lower() if word.isascii() else word
+                words.add(lower)
+                if lower != c:
+                    tail = c[len(word) :]
+                    rest.add(tail)
+                    parts.append((c, lower, tail))
             else:
-                whole.append(c)
-        self._learn_cores(list({w for _, w, _ in parts if w not in cores}))
-        self._learn_rest(list({t for _, _, t in parts if t and t not in cores}), cores)
-        self._learn_rest(whole, self.known)
-        self.known.update({c: cores[word] + cores[tail] if tail else cores[word] for c, word, tail in parts})
+                rest.add(c)
+        rest.discard("")
+        known[""] = b""
+        self._learn_words([w for w in words if w not in known])
+        self._learn_rest([c for c in rest if c not in known])
+        known.update({c: known[word] + known[tail] for c, word, tail in parts})
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        chunked = [_CHUNK.findall(t) if t else [] for t in texts]
-        for kept in (self.known, self.cores):
-            if len(kept) > CACHE_CHUNKS:
-                kept.clear()
+        # str.split parts at the same signs, and at four more that only few texts have
+        chunked = [(_CHUNK.findall(t) if _SEPARATORS.search(t) else t.split()) if t else [] for t in texts]
         known = self.known
+        if len(known) > CACHE_CHUNKS:
+            known.clear()
         new = set().union(*chunked).difference(known)
         if new:
             self._learn(new)

@@ -91,3 +91,17 @@ def test_odd_rows(spark):
     docs = odd_rows(spark)
     check(P.pack(docs, PATH).collect(), docs.collect())
     assert P.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_chunks_are_parted_where_the_library_parts_them():
+    library = Tokenizer.from_file(PATH)
+    assert [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (P._CHUNK.match(chr(c)) is None) != chr(c).isspace()
+            ] == ["\x1c", "\x1d", "\x1e", "\x1f"]
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    texts = [s.join(["Über", "das...", "One,", "a1-b", "!?", "x"]) for s in spaces] + ["a.b a... ... A. a"]
+    encoder = P.Encoder(PATH)
+    for _ in range(2):  # the second time from what is kept, words and signs alike
+        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    encode = library.encode(" ".join(encoder.known), add_special_tokens=False)
+    assert b"".join(encoder.known.values()) == np.array(encode.ids, "<u4").tobytes()
