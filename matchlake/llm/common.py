@@ -29,6 +29,9 @@ def free_name(df: DataFrame, wish: str) -> str:
 
 #: Rows that are Python objects at the same time; Arrow batches may be larger.
 ROWS_AT_ONCE = 1000
+#: Bytes of an Arrow batch (about), where the session has no limit of its own: Spark's default lets a batch
+#: hold the texts of a whole task, in the JVM and again in Python.
+BATCH_BYTES = 4 << 20
 
 
 def by_batch(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str) -> DataFrame:
@@ -36,8 +39,12 @@ def by_batch(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema:
 
     ``make`` runs once per task and returns that function, so that models and caches are
     loaded once; it gets {column: list} and returns {column: list} in the order of ``schema``.
+    Batches are bounded by the session's setting, which is set here if nobody has set it.
     """
     names = df.columns
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(limit, None) is None:
+        df.sparkSession.conf.set(limit, f"{BATCH_BYTES}b")
     spark_type = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -94,3 +94,11 @@ def test_classifier_on_odd_rows(spark):
     one = spark.createDataFrame([(5, 1), (None, 0), (6, None)], "doc_id long, quality int")
     kept = Q.keep_good(odd_rows(spark), one)
     assert kept.columns == odd_rows(spark).columns and kept.count() == odd_rows(spark).count()
+
+
+def test_arrow_batches_are_bounded_by_their_bytes(spark):
+    from matchlake.llm.common import BATCH_BYTES, by_batch
+
+    long = spark.range(0, 200, 1, 1).selectExpr("id AS doc_id", "repeat('x', 100000) AS text")
+    got = by_batch(long, lambda: lambda r: {"n": [len(r["text"])] * len(r["text"])}, "n long").collect()
+    assert len(got) == 200 and max(x.n for x in got) * 100_000 <= 1.1 * BATCH_BYTES
