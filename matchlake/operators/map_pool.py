@@ -1,32 +1,46 @@
 """Map pool at a point in time: the maps two rosters have played most before their fixture.
 
 What a roster has played of a map is a sum over its players, so a running count per (team, player,
-map) answers every roster and day. The counts are carried per (team, block of days): a block holds
-a bounded number of plays, gets the counts at its start, and reads off a ranked list for each
-probe. A fixture then merges the ranked lists of its two sides, reading only as far into them
-as its slots need. Maps nobody has played are looked at only where fewer were played than needed.
+map) answers every roster and day. Plays travel once per roster and day; players are told apart
+inside a (team, block of days): a block holds a bounded number of plays, gets the counts at its start,
+and reads off the played maps of each probe. All pairs of a day then meet the lists of that day in
+one group, where two sides are added up as arrays; no list is copied to the pairs that need it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from matchlake.functions.scalar import roster_of, rounded
 from matchlake.operators.asof import day_number
-from matchlake.operators.perspective import mode_list
+from matchlake.operators.perspective import mode_list, sides
 from matchlake.params import DEFAULTS, ModelParams
 from matchlake.sources.store import staged
 
 #: Daily counts of a team in one block; a block ends with a month.
 BLOCK_PLAYS = 50_000
-#: Entries of either ranked list that are read before the threshold is looked at.
+#: Pairs of a day that meet in one group, about; days with more are cut into parts.
+PAIRS_AT_ONCE = 20_000
+#: Maps at the head of each list that are added up before the threshold is looked at.
 PREFIX = 6
+#: Numbers of one array of sums or counts; larger ones are worked out piece by piece.
+CELLS_AT_ONCE = 1_000_000
 
-#: One entry per scored mode; in each the maps in ranked order with what was played and won.
-_PLAYED = "array<struct<names:array<string>,plays:array<double>,won:array<double>>>"
+PAIR = ["team_a", "a_roster_key", "team_b", "b_roster_key", "as_of_date"]
+#: What has been played of each map, one entry per (mode, map).
+_PLAYED = "modes array<int>, names array<string>, plays array<double>, won array<double>"
+#: One entry per slot, modes after each other, in a mode most played first; ``firsts`` has one per mode.
+_PICKED = (
+    "names array<string>, a_plays array<double>, b_plays array<double>, a_won array<double>, b_won array<double>, "
+    "firsts array<string>"
+)
 
 
 def _blocked(plays: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -44,67 +58,99 @@ def _blocked(plays: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame]
     return put[0], put[1]
 
 
-def _rank_block(rows: pd.DataFrame, size: float, n_modes: int) -> pd.DataFrame:
-    """Ranked lists of the probes (kind 2) of a block from its start (0) and its plays (1)."""
-    team = rows["team"].iloc[0]
-    counts, probes = rows[rows["kind"] < 2], rows[rows["kind"] == 2].sort_values("day")
-    cells = sorted(set(zip(counts["mode"], counts["map_name"])))
-    place = {c: i for i, c in enumerate(cells)}
-    players = {p: i for i, p in enumerate(sorted(set(counts["player_name"])))}
-    names = [m for _, m in cells]
-    borders = np.searchsorted([m for m, _ in cells], range(n_modes + 1))  # cells are sorted by mode and name
+def _codes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, list]:
+    """(place of every value among the sorted distinct values, those values); nulls are at -1."""
+    coded = pc.dictionary_encode(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
+    values = coded.dictionary.to_pylist()
+    order = sorted(range(len(values)), key=values.__getitem__)
+    place = np.full(len(values) + 1, -1)
+    place[order] = np.arange(len(values))
+    return place[pc.fill_null(coded.indices, len(values)).to_numpy(zero_copy_only=False)], [values[i] for i in order]
+
+
+def _lists(values: pa.Array, lengths: np.ndarray) -> pa.Array:
+    offsets = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
+def _played_block(rows: pa.Table, size: float, schema: pa.Schema) -> pa.Table:
+    """Played maps of the probes (kind 2) of a block from its start (0) and its plays (1)."""
+    kind = rows["kind"].to_numpy()
+    who, keys = _codes(rows["who"])
+    named, names = _codes(rows["map_name"])
+    rosters = [list(dict.fromkeys(k.split("|"))) for k in keys]
+    players = {p: i for i, p in enumerate(dict.fromkeys(p for r in rosters for p in r))}
+    seats = [np.array([players[p] for p in r], np.int64) for r in rosters]
+    counts = np.flatnonzero(kind < 2)
+    cells, cell = np.unique(rows["mode"].to_numpy()[counts] * max(len(names), 1) + named[counts], return_inverse=True)
+    day = np.where(kind == 0, np.iinfo(np.int64).min, rows["day"].to_numpy().astype(np.int64))
+    order = np.argsort(day[counts], kind="stable")
+    counts, cell = counts[order], cell[order]
+    # a row of a roster counts for each of its players
+    many = np.array([len(x) for x in seats], np.int64)
+    first = np.cumsum(many) - many
+    times = many[who[counts]]
+    begins = np.concatenate([[0], np.cumsum(times)])
+    seat = np.arange(begins[-1]) - np.repeat(begins[:-1] - first[who[counts]], times)
+    at = np.concatenate([*seats, np.zeros(0, np.int64)])[seat] * len(cells) + np.repeat(cell, times)
+    added = [np.repeat(rows[c].to_numpy()[counts].astype(float), times) for c in ("plays", "won")]
     state = np.zeros((2, len(players), len(cells)))
-    day = np.where(counts["kind"] == 0, np.iinfo(np.int64).min, counts["day"].to_numpy(np.int64))
-    order = np.argsort(day, kind="stable")
-    day = day[order]
-    who = counts["player_name"].map(players).to_numpy(np.int64)[order] if len(counts) else np.zeros(0, np.int64)
-    what = np.array([place[c] for c in zip(counts["mode"], counts["map_name"])], np.int64)[order]
-    n, won = (counts[c].to_numpy(float)[order] for c in ("plays", "won"))
-    done, out = 0, []
-    for at, roster_key in zip(probes["day"].tolist(), probes["roster_key"]):
-        upto = int(np.searchsorted(day, at, side="left"))  # strictly earlier days
-        if upto > done:
-            for k, value in enumerate((n, won)):
-                np.add.at(state[k], (who[done:upto], what[done:upto]), value[done:upto])
-            done = upto
-        some = [players[x] for x in dict.fromkeys(roster_key.split("|")) if x in players]
-        plays = state[0, some].sum(axis=0) / size
-        wins = state[1, some].sum(axis=0) / size
-        lists = []
-        for low, high in zip(borders[:-1], borders[1:]):
-            there = np.flatnonzero(plays[low:high] > 0) + low
-            best = there[np.argsort(-plays[there], kind="stable")]
-            lists.append({"names": [names[i] for i in best], "plays": plays[best], "won": wins[best]})
-        out.append((team, roster_key, at, lists))
-    return pd.DataFrame(out, columns=["team", "roster_key", "day", "played"])
-
-
-def ranked_maps_asof(map_history: DataFrame, probes: DataFrame, p: ModelParams = DEFAULTS) -> DataFrame:
-    """``played`` per probe (team, roster_key, as_of_date): maps of the scored modes by weighted plays.
-
-    There is an entry per mode, with its maps most played first, equal plays by name. Only earlier
-    days count; a roster that has played nothing has empty lists.
+    flat = state.reshape(2, -1)
+    probes = np.flatnonzero(kind == 2)
+    probes = probes[np.argsort(day[probes], kind="stable")]
+    upto = begins[np.searchsorted(day[counts], day[probes], side="left")]  # strictly earlier days
+    step, done, out = max(1, CELLS_AT_ONCE // max(len(cells), 1)), 0, []
+    for low in range(0, len(probes), step):
+        some = probes[low : low + step]
+        seen = np.empty((len(some), 2, len(cells)))
+        for i, (probe, to) in enumerate(zip(some, upto[low : low + step])):
+            if to > done:
+                for k in (0, 1):
+                    np.add.at(flat[k], at[done:to], added[k][done:to])
+                done = to
+            seen[i] = state[:, seats[who[probe]]].sum(axis=1)
+        of, what = np.nonzero(seen[:, 0] > 0)
+        lengths = np.bincount(of, minlength=len(some))
+        code = cells[what]
+        values = (
+            pa.array(code // max(len(names), 1), pa.int32()), pa.array(names, pa.string()).take(pa.array(code % max(len(names), 1))),
+            pa.array(seen[of, 0, what] / size), pa.array(seen[of, 1, what] / size),
+        )
+        mine = rows.take(pa.array(some))
+        out.append(pa.Table.from_arrays(
+            [mine["team"], mine["who"], mine["day"], mine["part"], *[_lists(v, lengths) for v in values]], schema.names
+        ).cast(schema))
+    return pa.concat_tables(out) if out else schema.empty_table()
+
+
+def played_asof(map_history: DataFrame, probes: DataFrame, p: ModelParams = DEFAULTS) -> DataFrame:
+    """Maps of the scored modes with weighted plays and wins, per probe (team, roster_key, as_of_date, part).
+
+    Lists hold what has been played, in no order; modes are numbers. Only earlier days count; a roster that has
+    played nothing has empty lists.
     """
     number = F.coalesce(*[F.when(F.col("mode") == m, F.lit(i)) for i, m in enumerate(mode_list(p))])
     known = map_history.filter(F.col("match_date").isNotNull() & (F.col("roster_key") != ""))
+    cell = ["team", "roster_key", "mode", "map_name"]
     plays = (
         known.select("team", "roster_key", number.alias("mode"), "map_name", day_number("match_date").alias("day"), "won")
         .filter(F.col("mode").isNotNull())
-        .groupBy("team", "roster_key", "mode", "map_name", "day").agg(F.count(F.lit(1)).alias("plays"), F.sum("won").alias("won"))
-        .withColumn("player_name", F.explode(F.array_distinct(roster_of("roster_key"))))
-        .groupBy("team", "player_name", "mode", "map_name", "day").agg(F.sum("plays").alias("plays"), F.sum("won").alias("won"))
+        .groupBy(*cell, "day").agg(F.count(F.lit(1)).alias("plays"), F.sum("won").cast("long").alias("won"))
     )
     asked = (
-        probes.filter(F.col("roster_key") != "")
-        .select("team", "roster_key", day_number("as_of_date").alias("day")).distinct()
+        probes.filter((F.col("roster_key") != "") & F.col("as_of_date").isNotNull())
+        .select("team", "roster_key", day_number("as_of_date").alias("day"), "part").distinct()
     )
     plays, asked = _blocked(staged(plays), staged(asked))
-    plays = staged(plays)
     # counts at the start of a block: what the cell has added up to in the last block it was played in
-    cell = ["team", "player_name", "mode", "map_name"]
-    added = plays.groupBy(*cell, "block").agg(F.sum("plays").alias("plays"), F.sum("won").alias("won"))
+    added = (
+        plays.groupBy(*cell, "block").agg(F.sum("plays").alias("plays"), F.sum("won").alias("won"))
+        .withColumn("who", F.explode(F.array_distinct(roster_of("roster_key"))))
+        .groupBy("team", "who", "mode", "map_name", "block").agg(F.sum("plays").alias("plays"), F.sum("won").alias("won"))
+    )
     last = asked.groupBy("team").agg(F.max("block").alias("last"))
-    along = Window.partitionBy(*cell).orderBy("block")
+    along = Window.partitionBy("team", "who", "mode", "map_name").orderBy("block")
     upto = along.rowsBetween(Window.unboundedPreceding, 0)
     carried = (
         added.withColumns({
@@ -113,154 +159,179 @@ def ranked_maps_asof(map_history: DataFrame, probes: DataFrame, p: ModelParams =
         .join(last, "team").withColumn("until", F.coalesce("next", "last")).filter(F.col("until") > F.col("block"))
         .withColumn("block", F.explode(F.sequence(F.col("block") + 1, F.col("until"))))
     )
-    columns = ["team", "block", "kind", "day", "player_name", "mode", "map_name", "plays", "won", "roster_key"]
-    none = F.lit(None)
+    columns = ["team", "block", "kind", "day", "part", "who", "mode", "map_name", "plays", "won"]
+    zero = F.lit(0)
     rows = (
-        carried.withColumns({"kind": F.lit(0), "day": F.lit(0), "roster_key": none.cast("string")}).select(*columns)
-        .unionByName(plays.withColumns({"kind": F.lit(1), "roster_key": none.cast("string")}).select(*columns))
+        carried.withColumns({"kind": zero, "day": zero, "part": zero}).select(*columns)
+        .unionByName(plays.withColumns({"kind": F.lit(1), "part": zero, "who": F.col("roster_key")}).select(*columns))
         .unionByName(asked.withColumns({
-            "kind": F.lit(2), "player_name": none.cast("string"), "mode": F.lit(0), "map_name": none.cast("string"),
-            "plays": F.lit(0).cast("long"), "won": F.lit(0).cast("long"),
+            "kind": F.lit(2), "who": F.col("roster_key"), "mode": zero, "map_name": F.lit(None).cast("string"),
+            "plays": zero.cast("long"), "won": zero.cast("long"),
         }).select(*columns))
     )
-    size, n_modes = float(p.roster_size), len(mode_list(p))
+    kinds = f"team string, roster_key string, day int, part int, {_PLAYED}"
+    arrow, size = _arrow(rows, kinds), float(p.roster_size)
 
-    def rank(block: pd.DataFrame) -> pd.DataFrame:
-        return _rank_block(block, size, n_modes)
+    def played(block: pa.Table) -> pa.Table:
+        return _played_block(block, size, arrow)
 
-    listed = rows.groupBy("team", "block").applyInPandas(rank, f"team string, roster_key string, day int, played {_PLAYED}")
-    return listed.select("team", "roster_key", F.date_from_unix_date("day").alias("as_of_date"), "played")
+    listed = rows.groupBy("team", "block").applyInArrow(played, kinds)
+    return listed.withColumn("day", F.date_from_unix_date("day")).withColumnRenamed("day", "as_of_date")
 
 
-def _entry(name: Column, a: Column, b: Column) -> Column:
-    """A map with what both sides have played of it; sorts by plays, then name."""
-    def of(x):
-        at = F.coalesce(F.array_position(x["names"], name), F.lit(0)).cast("int") - 1
-        plays = F.coalesce(F.get(x["plays"], at), F.lit(0.0))
-        return plays, F.when(plays > 0, F.get(x["won"], at) / plays * 100.0).otherwise(50.0)
+def _arrow(df: DataFrame, kinds: str) -> pa.Schema:
+    return to_arrow_schema(df.sparkSession.createDataFrame([], kinds).schema)
 
-    (a_plays, a_rate), (b_plays, b_rate) = of(a), of(b)
-    return F.struct(
-        (-(a_plays + b_plays)).alias("order"), name.alias("map_name"), a_plays.alias("a_plays"), b_plays.alias("b_plays"),
-        a_rate.alias("a_rate"), b_rate.alias("b_rate"),
-    )
 
+def _most_played(plays: np.ndarray, known: np.ndarray, a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    """The k known columns with the most plays of rows a and b together, -1 where there are fewer.
 
-def best_of(names: Column, a: Column, b: Column, k: int) -> Column:
-    """The k of some maps with the most plays of both sides together, as entries."""
-    return F.slice(F.sort_array(F.transform(names, lambda n: _entry(n, a, b))), 1, k)
+    Equal plays go by column. Threshold merge: the columns at the head of any row are added up; they hold
+    the answer if the k-th of them has more plays than the next entries of both rows together, because no
+    column behind can have more. Otherwise all columns are added up.
+    """
 
+    def best(pairs: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out, least = np.full((len(pairs), k), -1), np.full(len(pairs), -1.0)
+        step = max(1, CELLS_AT_ONCE // max(len(columns), 1))
+        for low in range(0, len(pairs) if len(columns) else 0, step):
+            some = pairs[low : low + step]
+            total = plays[np.ix_(a[some], columns)] + plays[np.ix_(b[some], columns)]
+            total[:, ~known[columns]] = -1
+            here = np.arange(len(some))
+            for j in range(k):
+                at = total.argmax(axis=1)
+                least[low : low + step] = value = total[here, at]
+                out[low : low + step, j] = np.where(value >= 0, columns[at], -1)
+                total[here, at] = -1
+        return out, least
 
-def with_most_played(df: DataFrame, a: str, b: str, k: int, out: str) -> DataFrame:
-    """Adds the k maps of two ranked lists with the most plays together, as entries.
+    everything, width = np.arange(len(a)), plays.shape[1]
+    if width <= PREFIX:
+        return best(everything, np.arange(width))[0]
+    ranked = np.argpartition(-plays, PREFIX, axis=1)
+    behind = plays[np.arange(len(plays)), ranked[:, PREFIX]]
+    heads = np.unique(ranked[:, :PREFIX])
+    out, least = best(everything, heads)
+    if len(heads) < width:
+        unsettled = np.flatnonzero(least <= behind[a] + behind[b])
+        out[unsettled] = best(unsettled, np.arange(width))[0]
+    return out
 
-    Threshold merge: the maps at the head of either list are added up; they hold the answer if
-    the k-th of them has more plays than the next entries of both lists together, because no map
-    behind can have more. Otherwise all maps of the lists are added up.
-    """
-    x, y = F.col(a), F.col(b)
-
-    def next_plays(side):
-        return F.coalesce(F.get(side["plays"], F.lit(PREFIX)), F.lit(0.0))
-
-    heads = F.array_distinct(F.concat(F.slice(x["names"], 1, PREFIX), F.slice(y["names"], 1, PREFIX)))
-    behind = next_plays(x) + next_plays(y)
-    settled = (behind == 0) | (-F.get("_head", F.lit(k - 1))["order"] > behind)
-    everything = best_of(F.array_distinct(F.concat(x["names"], y["names"])), x, y, k)
-    return (
-        df.withColumn("_head", best_of(heads, x, y, k))
-        .withColumn(out, F.when(F.coalesce(settled, F.lit(False)), F.col("_head")).otherwise(everything))
-        .drop("_head")
+
+def _pick(pairs: pa.Table, lists: pa.Table, need: list[int], schema: pa.Schema) -> pa.Table:
+    """Maps of the pairs of one day; of the lists that without a team is the pool of the day."""
+    if not pairs.num_rows:
+        return schema.empty_table()
+    sides_of = list(zip(lists["team"].to_pylist(), lists["roster_key"].to_pylist()))
+    place = {x: i for i, x in enumerate(sides_of) if x[0] is not None}
+    pool = next((i for i, x in enumerate(sides_of) if x[0] is None), len(sides_of))
+    a, b = (
+        np.array([place.get(x, len(sides_of)) for x in zip(pairs[f"team_{s}"].to_pylist(), pairs[f"{s}_roster_key"].to_pylist())])
+        for s in "ab"
     )
+    parts = {c: lists[c].combine_chunks().flatten() for c in ("modes", "names", "plays", "won")}
+    owner = np.repeat(np.arange(len(sides_of)), pc.list_value_length(lists["modes"]).to_numpy())
+    mode, (named, names) = parts["modes"].to_numpy(), _codes(parts["names"])
+    values = {c: [] for c in ("names", "a_plays", "b_plays", "a_won", "b_won")}
+    firsts, label = [], np.array([*names, None], object)
+    for i, k in enumerate(need):
+        here = np.flatnonzero(mode == i)
+        # the columns are the maps of the mode; the last row is a side that has played nothing
+        maps, column = np.unique(named[here], return_inverse=True)
+        dense = {c: np.zeros((len(sides_of) + 1, len(maps))) for c in ("plays", "won")}
+        for c in dense:
+            dense[c][owner[here], column] = parts[c].to_numpy()[here]
+        known = np.zeros(len(maps), bool)
+        known[column[owner[here] == pool]] = True
+        best = _most_played(dense["plays"], known, a, b, k)
+        found, at = best >= 0, np.maximum(best, 0)
+        values["names"].append(label[np.where(found, maps[at] if len(maps) else -1, -1)])
+        for c in dense:
+            for s, row in (("a", a), ("b", b)):
+                values[f"{s}_{c}"].append(np.where(found, dense[c][row[:, None], at], 0.0) if len(maps) else np.zeros(at.shape))
+        firsts.append(names[maps[known.argmax()]] if known.any() else None)
+    n = pairs.num_rows
+    slots = [_lists(pa.array(np.concatenate(v, axis=1).ravel(), schema.field(c).type.value_type), np.full(n, sum(need))) for c, v in values.items()]
+    return pa.Table.from_arrays(
+        [*[pairs[c] for c in PAIR], *slots, _lists(pa.array(firsts * n, pa.string()), np.full(n, len(need)))], schema.names
+    ).cast(schema)
 
 
-def with_map_pool_asof(fixtures: DataFrame, map_history: DataFrame, p: ModelParams = DEFAULTS) -> DataFrame:
-    """``predicted_maps``: per slot of a series the most played unused map before the fixture's day.
+def _picker(need: list[int], schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    return lambda pairs, lists: _pick(pairs, lists, need, schema)
+
 
-    Fixtures have team_a, team_b, as_of_date and the roster keys of both sides (null: nothing
+def pools_asof(pairs: DataFrame, map_history: DataFrame, p: ModelParams = DEFAULTS) -> DataFrame:
+    """``predicted_maps`` per distinct pair: per slot of a series the most played unused map before its day.
+
+    Pairs have team_a, team_b, as_of_date and the roster keys of both sides (null: nothing
     played). The pool of a day are the maps anyone has played before; unplayed ones follow by name,
     and when the pool is used up its first map comes again.
     """
     modes = mode_list(p)
     need = [p.series_modes.count(m) for m in modes]
-    pair = ["team_a", "a_roster_key", "team_b", "b_roster_key", "as_of_date"]
-    df = fixtures.select(*pair).distinct()
-    sides = [
-        df.select(F.col(f"team_{s}").alias("team"), F.col(f"{s}_roster_key").alias("roster_key"), "as_of_date")
-        for s in ("a", "b")
-    ]
-    listed = staged(ranked_maps_asof(map_history, sides[0].unionByName(sides[1]), p))
-    for s in ("a", "b"):
-        mine = listed.select(
-            F.col("team").alias(f"team_{s}"), F.col("roster_key").alias(f"{s}_roster_key"), "as_of_date",
-            F.col("played").alias(f"_{s}"),
-        )
-        df = df.join(mine, [f"team_{s}", f"{s}_roster_key", "as_of_date"], "left")
-    nothing = F.array(*[
-        F.struct(F.array().cast("array<string>").alias("names"), F.array().cast("array<double>").alias("plays"),
-                 F.array().cast("array<double>").alias("won")) for _ in modes
-    ])
-    df = df.withColumns({f"_{s}": F.coalesce(f"_{s}", nothing) for s in ("a", "b")})
-    df = df.withColumns({f"_{s}{i}": F.get(f"_{s}", F.lit(i)) for i in range(len(modes)) for s in ("a", "b")})
-    for i in range(len(modes)):
-        df = with_most_played(df, f"_a{i}", f"_b{i}", need[i], f"_r{i}")
-    ranked = staged(df.select(*pair, *[f"_r{i}" for i in range(len(modes))], F.monotonically_increasing_id().alias("_no")))
-    # untouched maps, only for the fixtures and modes that need them
-    short = F.explode(F.array(*[
-        F.struct(
-            F.lit(i).alias("number"), F.lit(m).alias("mode"),
-            F.transform(f"_r{i}", lambda e: e["map_name"]).alias("names"), (need[i] - F.size(f"_r{i}")).alias("missing"),
-        ) for i, m in enumerate(modes)
-    ]))
-    needy = ranked.select("_no", "as_of_date", short.alias("it")).select("_no", "as_of_date", "it.*").filter("missing > 0")
+    pairs = staged(pairs.select(*PAIR).distinct())
+    parts = pairs.groupBy(F.col("as_of_date").alias("_day")).agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(PAIRS_AT_ONCE)).cast("int").alias("_parts")
+    )
+    pairs = pairs.join(parts, F.col("as_of_date").eqNullSafe(F.col("_day"))).select(
+        *PAIR, F.pmod(F.xxhash64(*PAIR), F.col("_parts")).cast("int").alias("part")
+    )
+    seats = sides(pairs, {"team": ("team_a", "team_b"), "roster_key": ("a_roster_key", "b_roster_key")}, ["as_of_date", "part"])
+    number = F.coalesce(*[F.when(F.col("mode") == m, F.lit(i)) for i, m in enumerate(modes)])
     pool = (
         map_history.filter(F.col("match_date").isNotNull() & F.col("mode").isin(modes))
-        .groupBy("mode", "map_name").agg(F.min("match_date").alias("first"))
-        .groupBy("mode").agg(F.sort_array(F.collect_list(F.struct("map_name", "first"))).alias("pool"))
+        .groupBy(number.alias("mode"), "map_name").agg(F.min("match_date").alias("first"))
+        .agg(F.collect_list(F.struct("mode", "map_name", "first")).alias("pool"))
     )
-    known = F.transform(F.filter("pool", lambda e: e["first"] < F.col("as_of_date")), lambda e: e["map_name"])
-    filled = (
-        needy.join(pool, "mode").withColumn("known", known)
-        .select("_no", "number", F.get("known", 0).alias("first"), F.slice(
-            F.array_except("known", "names"), F.lit(1), F.col("missing")
-        ).alias("fill"))
-        .groupBy("_no").agg(*[
-            F.max(F.when(F.col("number") == i, F.struct("first", "fill"))).alias(f"_f{i}") for i in range(len(modes))
-        ])
+    known = F.filter("_all", lambda e: e["first"] < F.col("as_of_date"))
+    none = F.lit(None).cast("string")
+    zeros = F.transform("pool", lambda e: F.lit(0.0))
+    days = pairs.select("as_of_date", "part").distinct().withColumn("_all", pool.scalar()).withColumn("pool", known).select(
+        none.alias("team"), none.alias("roster_key"), "as_of_date", "part",
+        F.transform("pool", lambda e: e["mode"]).alias("modes"), F.transform("pool", lambda e: e["map_name"]).alias("names"),
+        zeros.alias("plays"), zeros.alias("won"),
+    ).filter(F.size("modes") > 0)
+    kinds = f"team_a string, a_roster_key string, team_b string, b_roster_key string, as_of_date date, {_PICKED}"
+    lists = played_asof(map_history, seats, p).unionByName(days)
+    picked = pairs.groupBy("as_of_date", "part").cogroup(lists.groupBy("as_of_date", "part")).applyInArrow(
+        _picker(need, _arrow(pairs, kinds)), kinds
     )
-    df = ranked.join(filled, "_no", "left")
-    no_names = F.array().cast("array<string>")
-
-    def untouched(name):
-        zero, even = F.lit(0.0), F.lit(50.0)
-        return F.struct(
-            zero.alias("order"), name.alias("map_name"), zero.alias("a_plays"), zero.alias("b_plays"),
-            even.alias("a_rate"), even.alias("b_rate"),
-        )
-
-    df = df.withColumns({
-        f"_r{i}": F.concat(f"_r{i}", F.transform(F.coalesce(F.col(f"_f{i}")["fill"], no_names), untouched))
-        for i in range(len(modes))
-    })
     used: dict[str, int] = {}
     slots = []
-    for number, mode in enumerate(p.series_modes, 1):
-        k = used.get(mode, 0)
+    for slot, mode in enumerate(p.series_modes, 1):
+        i, k = modes.index(mode), used.get(mode, 0)
         used[mode] = k + 1
-        i = modes.index(mode)
-        pick, first = F.get(f"_r{i}", F.lit(k)), F.col(f"_f{i}")["first"]
-        plays = pick["a_plays"] + pick["b_plays"]
+        at = F.lit(sum(need[:i]) + k)
+        name, first = F.get("names", at), F.get("firsts", F.lit(i))
+
+        def rate(s, at=at):
+            n = F.get(f"{s}_plays", at)
+            return F.when(n > 0, F.get(f"{s}_won", at) / n * 100.0).otherwise(50.0)
+
+        plays = F.get("a_plays", at) + F.get("b_plays", at)
+        figures = {
+            "team_a_winrate": rounded(rate("a"), 1), "team_b_winrate": rounded(rate("b"), 1),
+            "team_a_plays": rounded(F.get("a_plays", at), 1), "team_b_plays": rounded(F.get("b_plays", at), 1),
+            "advantage_a": (rate("a") - rate("b")) * (F.least(plays, F.lit(10.0)) / 10.0),
+        }
         slots.append(F.struct(
-            F.lit(number).alias("map_number"), F.lit(mode).alias("mode"),
-            F.coalesce(pick["map_name"], first, F.lit("Unknown")).alias("predicted_map"),
-            rounded(pick["a_rate"], 1).alias("team_a_winrate"), rounded(pick["b_rate"], 1).alias("team_b_winrate"),
-            rounded(pick["a_plays"], 1).alias("team_a_plays"), rounded(pick["b_plays"], 1).alias("team_b_plays"),
-            ((pick["a_rate"] - pick["b_rate"]) * (F.least(plays, F.lit(10.0)) / 10.0)).alias("advantage_a"),
-            F.when(plays > 0, F.lit("most played")).when(pick.isNotNull(), F.lit("unplayed"))
+            F.lit(slot).alias("map_number"), F.lit(mode).alias("mode"),
+            F.coalesce(name, first, F.lit("Unknown")).alias("predicted_map"),
+            *[F.when(name.isNotNull(), v).alias(c) for c, v in figures.items()],
+            F.when(name.isNotNull() & (plays > 0), F.lit("most played")).when(name.isNotNull(), F.lit("unplayed"))
             .when(first.isNotNull(), F.lit("pool used up")).otherwise(F.lit("no map data")).alias("reason"),
         ))
-    done = df.select(*[F.col(c).alias(f"_k{j}") for j, c in enumerate(pair)], F.array(*slots).alias("predicted_maps"))
+    return picked.select(*PAIR, F.array(*slots).alias("predicted_maps"))
+
+
+def with_map_pool_asof(fixtures: DataFrame, map_history: DataFrame, p: ModelParams = DEFAULTS) -> DataFrame:
+    """Adds ``predicted_maps`` of ``pools_asof`` to fixtures that have the columns of a pair."""
+    done = pools_asof(fixtures, map_history, p).select(
+        *[F.col(c).alias(f"_k{j}") for j, c in enumerate(PAIR)], "predicted_maps"
+    )
     same = F.lit(True)
-    for j, c in enumerate(pair):
+    for j, c in enumerate(PAIR):
         same = same & F.col(c).eqNullSafe(F.col(f"_k{j}"))
-    return fixtures.join(done, same).drop(*[f"_k{j}" for j in range(len(pair))])
+    return fixtures.join(done, same).drop(*[f"_k{j}" for j in range(len(PAIR))])

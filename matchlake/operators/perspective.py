@@ -233,6 +233,36 @@ def map_history(matches: DataFrame, map_results: DataFrame, player_match_stats:
     return with_rosters(map_rows(matches, map_results), player_match_stats)
 
 
+def nested_cards(nested: DataFrame) -> DataFrame:
+    """Matches with the roster keys of both sides and their maps as (mode, map_name, won by a), from rows that hold both."""
+    won = F.transform("maps", lambda m: F.struct(
+        m["mode"].alias("mode"), m["map_name"].alias("map_name"), flag(m["team_a_score"] > m["team_b_score"]).alias("won"),
+    ))
+    return nested.select(
+        "match_id", "match_date", "team_a", "team_b",
+        *[roster_key(roster_from_lineup(F.col(f"team_{s}"))).alias(f"{s}_roster_key") for s in ("a", "b")], won.alias("maps"),
+    )
+
+
+def card_sides(cards: DataFrame) -> DataFrame:
+    """(match, side) rows of cards with their roster keys."""
+    keys = {"team": ("team_a", "team_b"), "roster_key": ("a_roster_key", "b_roster_key")}
+    return sides(cards, keys, ["match_id", "match_date"])
+
+
+def card_history(cards: DataFrame) -> DataFrame:
+    """(map, side) rows of cards, without scores: what ``map_history`` holds of plays and wins."""
+    maps = cards.select("match_date", "team_a", "team_b", "a_roster_key", "b_roster_key", F.inline("maps"))
+    return sides(
+        maps,
+        {
+            "team": ("team_a", "team_b"), "roster_key": ("a_roster_key", "b_roster_key"),
+            "won": (F.col("won"), 1 - F.col("won")),
+        },
+        ["match_date", "mode", "map_name"],
+    )
+
+
 def results_list(matches: DataFrame, team: str | None = None) -> DataFrame:
     """Team history with WIN/LOSS and opponent, newest first."""
     a_won = F.col("winner") == F.col("team_a")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from matchlake.functions.scalar import confidence_image, confidence_text, form_mark, margin_note
 from matchlake.functions.scalar import rounded
+from matchlake.operators.asof import asof_latest
 from matchlake.operators import history as H
 from matchlake.operators import map_pool as MP
 from matchlake.operators import perspective as P
@@ -81,11 +82,9 @@ def with_rosters_asof(
         )
         return fixtures.join(rosters, "fixture_id", "left")
     seats = P.sides(fixtures, {"team": ("team_a", "team_b")}, ["as_of_date"])
-    latest = H.rosters_asof(
-        form_history.select(
-            "team", "match_id", "roster", "roster_key", F.col("match_date")
-        ),
-        seats.select("team", F.col("as_of_date").alias("match_date")),
+    latest = asof_latest(
+        form_history.select("team", "match_id", "roster_key", "match_date"),
+        seats.select("team", F.col("as_of_date").alias("match_date")), ["team"], "match_date", ["match_id"], ["roster_key"],
     )
     df = fixtures
     for side in ("a", "b"):

@@ -289,9 +289,13 @@ JOIN (SELECT *, ROW_NUMBER() OVER (PARTITION BY fixture_id, mode ORDER BY a_play
 @query("pick_pool_asof", _pool_asof_sql())
 def _(t):
     """The pool of every fixture on its own day, with the rosters of the latest earlier matches."""
-    fixtures = M.with_rosters_asof(t.fixtures, form_history(t))
-    df = MP.with_map_pool_asof(fixtures, map_history(t))
-    picked = df.select("fixture_id", F.inline("predicted_maps"))
+    cards = staged(P.nested_cards(t.nested))
+    fixtures = cards.select(F.col("match_id").alias("fixture_id"), "team_a", "team_b", F.col("match_date").alias("as_of_date"))
+    # rosters follow from team and day, so a pair is worked out once a day
+    pair = ["team_a", "team_b", "as_of_date"]
+    pairs = M.with_rosters_asof(fixtures.select(*pair).distinct(), P.card_sides(cards))
+    pools = MP.pools_asof(pairs, P.card_history(cards)).select(*pair, "predicted_maps")
+    picked = fixtures.join(pools, pair).select("fixture_id", F.inline("predicted_maps"))
     return r6(picked.filter(F.col("team_a_plays").isNotNull()))
 
 

@@ -86,3 +86,49 @@ def test_without_any_history(spark):
     rows = mp.with_map_pool_asof(f, h).collect()
     assert len(rows) == len(fixtures) and {s.reason for r in rows for s in r.predicted_maps} == {"no map data"}
     assert mp.with_map_pool_asof(f.limit(0), h).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_most_played_of_two_rows(monkeypatch, seed):
+    import numpy as np
+
+    r = np.random.default_rng(seed)
+    monkeypatch.setattr(mp, "PREFIX", int(r.integers(1, 8)))
+    monkeypatch.setattr(mp, "CELLS_AT_ONCE", int(r.integers(1, 60)))
+    width, k = int(r.integers(0, 15)), int(r.integers(1, 4))
+    plays = r.integers(0, 4, (6, width)) / 4 * (r.random((6, width)) < 0.5)
+    known = (r.random(width) < 0.7) | (plays.sum(axis=0) > 0)
+    a, b = r.integers(0, 6, 30), r.integers(0, 6, 30)
+    got = mp._most_played(plays, known, a, b, k)
+    for row, x, y in zip(got, a, b):
+        ranked = sorted(np.flatnonzero(known), key=lambda c: (-(plays[x, c] + plays[y, c]), c))[:k]
+        assert list(row) == [*ranked, *[-1] * (k - len(ranked))]
+
+
+def test_days_in_parts_and_no_list_beside_a_pair(spark, monkeypatch):
+    history, fixtures = world(5, 40)
+    # two fixtures more on every day, so that days have several pairs
+    fixtures += [(f[0] + 100 * i, f[1], "A0|A3", "C", f"C{i}", f[5]) for f in fixtures[:40] for i in (1, 2)]
+    h = spark.createDataFrame(history, "team string, roster_key string, mode string, map_name string, match_date date, won int")
+    f = spark.createDataFrame(
+        fixtures, "fixture_id long, team_a string, a_roster_key string, team_b string, b_roster_key string, as_of_date date"
+    )
+    whole = mp.with_map_pool_asof(f, h)
+    # what a side has played meets its pairs in one group a day, not in joins that copy it to every pair
+    assert whole._jdf.queryExecution().executedPlan().toString().count("FlatMapCoGroupsInArrow") == 1
+    monkeypatch.setattr(mp, "PAIRS_AT_ONCE", 1)
+    parts = mp.with_map_pool_asof(f, h)
+    assert whole.count() == len(fixtures) and parts.exceptAll(whole).count() == 0 and whole.exceptAll(parts).count() == 0
+
+
+def test_cards_hold_line_ups_and_map_history(tables):
+    from matchlake.operators import perspective as P
+
+    cards = P.nested_cards(tables.nested)
+    want = P.map_history(tables.matches, tables.map_results, tables.player_match_stats)
+    got = P.card_history(cards)
+    want = want.select(*got.columns)
+    assert got.count() > 0 and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    sides, rows = P.card_sides(cards), tables.form_history.select("match_id", "match_date", "side", "team", "roster_key")
+    sides = sides.select(*rows.columns)
+    assert sides.exceptAll(rows).count() == 0 and rows.exceptAll(sides).count() == 0
