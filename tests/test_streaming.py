@@ -200,3 +200,24 @@ def test_older_copies_tell_copies_of_one_file_apart(spark):
     documents = rows.select(F.struct(F.col("id").alias("match_id")).alias("match_info"), "seq", "_row")
     left_out = {r[0] for r in older_copies(documents, ["seq"], "_row").collect()}
     assert 0 in left_out and len(left_out) == 2 and 3 not in left_out
+
+
+def test_a_batch_is_added_up_without_joins_by_match(spark, tmp_path):
+    """Rows of the log carry what their statistics need of their document; the facts do not show it."""
+    from matchlake.sources.documents import CONTEXT, read_documents, shred
+
+    for i in (1, 2):
+        (tmp_path / f"{i}.json").write_text(json.dumps(document(str(i), date=f"2026-01-0{i}")))
+    store = MatchStore(spark, str(tmp_path / "store"))
+    load_batch(store, read_documents(spark, str(tmp_path), "[12].json"), 1)
+    new = {name: store.log(name) for name in CONTEXT}
+    plain = shred(read_documents(spark, str(tmp_path), "[12].json"))
+    for name, state in STATES.items():
+        got, want = state.rows(new), state.rows(plain)
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString(), name
+        columns = [c for c in want.columns if c not in ("source_time", "source_file")]
+        assert rows(got.select(*columns)) == rows(want.select(*columns)), name
+    for name, df in store.facts().items():
+        assert not {"match_date", "series_winner", "maps_played"} & set(df.columns) - {"match_date"} and (
+            "match_date" not in df.columns or name == "matches"
+        )
