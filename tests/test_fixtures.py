@@ -59,6 +59,27 @@ def test_lines_are_read_once_and_texts_parsed_once(spark, name):
     assert plan.count("from_json(") == (0 if name in ("match_page_headers", "match_page_maps") else 1)
 
 
+@pytest.mark.parametrize("large", [False, True])
+def test_kept_tables_are_written_once(spark, tables, monkeypatch, large):
+    if large:
+        monkeypatch.setattr(fixtures, "BUCKETS_FROM", 1)
+        monkeypatch.setattr(fixtures, "BUCKET_LINES", 500)
+    kept = FixtureTables(spark, SF).kept()
+    for name in ("matches", "map_results", "player_match_stats"):
+        a, b = getattr(kept, name), getattr(tables, name)
+        assert a.columns == b.columns and "Join" not in _plan(a) and "lineitem" not in "".join(a.inputFiles()), name
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, name
+        assert not large or "Exchange" not in _plan(a.groupBy("match_id").count()), name
+    assert kept.form_history.count() == 2 * tables.matches.count()
+
+
+@pytest.mark.parametrize("name", ["match_page_table_players", "match_page_table_totals"])
+def test_table_pages_are_made_inside_the_rows_of_matches(spark, name):
+    from registry.facts import REGISTRY
+
+    assert _plan(REGISTRY[name][0](spark, SF)).count("ReadSchema: struct<l_orderkey") == 1
+
+
 def test_shred_takes_missing_and_empty_lists(spark):
     from matchlake.schemas import DOCUMENT
     from matchlake.sources import documents as docs
