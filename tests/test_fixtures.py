@@ -64,12 +64,16 @@ def test_kept_tables_are_written_once(spark, tables, monkeypatch, large):
     if large:
         monkeypatch.setattr(fixtures, "BUCKETS_FROM", 1)
         monkeypatch.setattr(fixtures, "BUCKET_LINES", 500)
+    from matchlake.functions.scalar import rounded
+
     kept = FixtureTables(spark, SF).kept()
     for name in ("matches", "map_results", "player_match_stats"):
         a, b = getattr(kept, name), getattr(tables, name)
         assert a.columns == b.columns and "Join" not in _plan(a) and "lineitem" not in "".join(a.inputFiles()), name
+        rates = {c: rounded(c, 6) for c in ("kd", "rating") if c in b.columns}
+        a, b = a.withColumns(rates), b.withColumns(rates)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, name
-        assert not large or "Exchange" not in _plan(a.groupBy("match_id").count()), name
+        assert not large or "Exchange" not in _plan(getattr(kept, name).groupBy("match_id").count()), name
     assert kept.form_history.count() == 2 * tables.matches.count()
 
 
